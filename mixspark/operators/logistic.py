@@ -160,6 +160,13 @@ def learning_rate(params: LogisticParams, i: int) -> float:
     return params.lr_start / (1.0 + params.lr_speed * (i - 1))
 
 
+def rate_rows(steps: DataFrame, params: LogisticParams) -> DataFrame:
+    """(i, lr) for each step of a run, ``steps`` being a one-row frame with their number."""
+    i = F.col("i")
+    rows = steps.select(F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("i"))
+    return rows.withColumn("lr", F.lit(params.lr_start) / (1.0 + F.lit(params.lr_speed) * (i - 1)))
+
+
 def decay(size: int, reg: float) -> float:
     return 2.0 * reg / math.sqrt(size)
 

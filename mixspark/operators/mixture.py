@@ -216,6 +216,17 @@ def em_sums(sample: DataFrame, m: Mixture, floor: float = 0.0) -> DataFrame:
     )
 
 
+def maximise_rows(sums: DataFrame, d: int) -> DataFrame:
+    """M-step as columns: (comp, weight, mu0.., s00, s01.., loglik)."""
+    r = F.col("r")
+    mu = [F.col(f"s{j}") / r for j in range(d)]
+    return sums.select(
+        "comp", (r / F.col("n")).alias("weight"), *[mu[j].alias(f"mu{j}") for j in range(d)],
+        *[(F.col(f"s{i}_{j}") / r - mu[i] * mu[j]).alias(f"s{i}{j}")
+          for i in range(d) for j in range(i, d)],
+        "loglik")
+
+
 def em_batch(x, m: Mixture, floor: float = 0.0):
     """The same statistics of a batch: (loglik, n, r[k], s[k,d], ss[k,d,d])."""
     p = EPS + m.weights * np.exp(log_pdf_batch(x, m.roots(floor), m.mu))
