@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixspark.functions.expr import total
+from mixspark.functions.expr import constants, total
 from mixspark.functions.rand import first_hit, normal, uniform
 from mixspark.operators.encode import set_category
 from mixspark.operators.ordered import ranked_values
@@ -45,8 +45,7 @@ def group_rows(specs: DataFrame, seed=0) -> DataFrame:
     chunks = specs.where("n > 0").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"),
                                       ((F.col("n") - 1) / CHUNK).cast("bigint"))))
-    if specs.sparkSession.conf.get("spark.sql.adaptive.enabled") is not None:
-        chunks = chunks.repartition("grp", "chunk")
+    chunks = chunks.repartition("grp", "chunk")
     low = F.col("chunk") * CHUNK + 1
     rows = chunks.withColumn(
         "id", F.explode(F.sequence(low, F.least(F.col("n"), low + (CHUNK - 1)))))
@@ -66,26 +65,24 @@ def decaying_probability(i: int, xm: float = 2, alpha: float = 1.0) -> float:
 def decaying_binary(rows: DataFrame, n_cols: int, xm: float = 2, alpha: float = 1.0,
                     seed=0) -> DataFrame:
     """Add ``bits``: 0/1 columns that get rarer from left to right."""
-    bits = [
-        (uniform(F.col("key"), "base", i, seed) < F.lit(decaying_probability(i, xm, alpha)))
-        .cast("int") for i in range(n_cols)
-    ]
-    return rows.withColumn("bits", F.array(*bits))
+    p = constants([decaying_probability(i, xm, alpha) for i in range(n_cols)])
+    return rows.withColumn("bits", F.transform(
+        p, lambda x, i: (uniform(F.col("key"), "base", i, seed) < x).cast("int")))
 
 
 def independent_binary(rows: DataFrame, n_cols: int, p: float = DEFAULT_BINARY_PROBABILITY,
                        seed=0) -> DataFrame:
     """Add ``bits``: independent 0/1 columns."""
-    bits = [(uniform(F.col("key"), "bit", i, seed) < F.lit(float(p))).cast("int")
-            for i in range(n_cols)]
-    return rows.withColumn("bits", F.array(*bits))
+    return rows.withColumn("bits", F.transform(
+        F.sequence(F.lit(0), F.lit(n_cols - 1)),
+        lambda i: (uniform(F.col("key"), "bit", i, seed) < F.lit(float(p))).cast("int")))
 
 
-def location_scale(means: list[Column], sigmas: list[Column], *salt) -> Column:
-    """U[0,1) * sigma + mean for each numeric."""
-    return F.array(*[
-        uniform(F.col("key"), *salt, j) * s + m for j, (m, s) in enumerate(zip(means, sigmas))
-    ])
+def location_scale(means: Column, sigmas: Column, *salt) -> Column:
+    """U[0,1) * sigma + mean for each numeric of two arrays."""
+    return F.transform(
+        F.arrays_zip(means.alias("m"), sigmas.alias("s")),
+        lambda t, j: uniform(F.col("key"), *salt, j) * t["s"] + t["m"])
 
 
 def rule_holds(bits: Column, rule: Rule, match: str = "listed") -> Column:
@@ -150,26 +147,26 @@ def draft_rules(ids: DataFrame, size: int, seed=0, rule: str = "rule") -> DataFr
     return rows.withColumn("bits", bits).drop("__t", "__last")
 
 
-def share(bits: Column, rule: list[int]) -> Column:
-    """Share of a rule's columns that are 1."""
-    ones = [c for c, on in enumerate(rule) if on]
-    return total([bits[c].cast("double") for c in ones]) / F.lit(float(len(ones)))
+def shares(bits: Column, rules: list[list[int]]) -> Column:
+    """For each rule, the share of its columns that are 1."""
+    ones = F.array(*[constants([c for c, on in enumerate(r) if on], "int") for r in rules])
+    return F.transform(ones, lambda cols: F.aggregate(
+        cols, F.lit(0.0), lambda acc, c: acc + F.get(bits, c)) / F.size(cols))
 
 
 def dependent_binary(rows: DataFrame, rules: list[list[int]], seed=0) -> DataFrame:
     """Put one 0/1 column per rule before ``bits``: 1 with the rule's share as probability."""
-    extra = [
-        (uniform(F.col("key"), "dep", i, seed) < share(F.col("bits"), r)).cast("int")
-        for i, r in enumerate(rules)
-    ]
-    return rows.withColumn("bits", F.concat(F.array(*extra), F.col("bits")))
+    extra = F.transform(
+        shares(F.col("bits"), rules),
+        lambda p, i: (uniform(F.col("key"), "dep", i, seed) < p).cast("int"))
+    return rows.withColumn("bits", F.concat(extra, F.col("bits")))
 
 
 def dependent_numeric(rows: DataFrame, rules: list[list[int]], seed=0) -> DataFrame:
     """Add ``nums``: one per rule with the share p as location and 1/(p+1) as scale."""
-    shares = [share(F.col("bits"), r) for r in rules]
-    return rows.withColumn(
-        "nums", location_scale(shares, [1.0 / (p + 1.0) for p in shares], "num", seed))
+    rows = rows.withColumn("__p", shares(F.col("bits"), rules))
+    scale = F.transform("__p", lambda p: 1.0 / (p + 1.0))
+    return rows.withColumn("nums", location_scale(F.col("__p"), scale, "num", seed)).drop("__p")
 
 
 def category_flip(view: DataFrame, options: int, seed=0) -> DataFrame:

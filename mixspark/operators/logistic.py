@@ -369,7 +369,9 @@ def train_pooled(pool: DataFrame, w0: dict[int, np.ndarray], d: int,
 
 
 def trained_from_row(r) -> Trained:
-    return Trained(np.array(r["w"]), list(zip(r["it"], r["lr"], r["grad_l1"], r["n"])),
+    # Arrow turns the NaN of a diverged fit into null; a float array turns it back.
+    norms = np.array(r["grad_l1"], dtype=float).tolist()
+    return Trained(np.array(r["w"], dtype=float), list(zip(r["it"], r["lr"], norms, r["n"])),
                    r["converged"])
 
 
@@ -466,5 +468,6 @@ def convergence_log(t: Trained) -> list[float]:
     info = np.finfo(float)
     if t.converged:
         return [float(info.min)] * LOG_STEPS
-    logs = [math.log(h[2]) if h[2] > 0 else float("-inf") for h in t.history[-LOG_STEPS:]]
+    with np.errstate(divide="ignore"):
+        logs = np.log([h[2] for h in t.history[-LOG_STEPS:]]).tolist()
     return [float(info.max)] * (LOG_STEPS - len(logs)) + logs

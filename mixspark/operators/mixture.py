@@ -21,8 +21,10 @@ EM_TOLERANCE = 0.01
 ATTEMPTS = 20
 EPS = float(np.finfo(float).eps)
 
-# Numerics handled as generated code; wider rows go through numpy in Arrow batches.
-UNROLL_NUMS = 12
+# Terms of the quadratic forms written out as generated code (its methods must stay small enough
+# to be compiled to machine code); beyond that, numpy over Arrow batches.
+DENSITY_TERMS = 320
+EM_TERMS = 12
 # A fit sample up to this many numbers is fitted in one task.
 SAMPLE_CELLS = 4_000_000
 
@@ -41,6 +43,10 @@ class Mixture:
     def d(self) -> int:
         return self.mu.shape[1]
 
+    @property
+    def terms(self) -> int:
+        return self.k * self.d * (self.d + 1) // 2
+
     def roots(self, floor: float = 0.0):
         """Per component the matrix R and constant c of ln pdf(x) = c - |R (x - mu)|^2 / 2.
         Directions without variance are left out of both, as a pseudo-inverse does."""
@@ -51,6 +57,7 @@ class Mixture:
             if not keep.any():
                 raise ValueError("a component has no variance in any direction")
             root = vectors[:, keep].T / np.sqrt(values[keep])[:, None]
+            root = np.linalg.qr(root, mode="r")  # same norm, half the terms
             c = -0.5 * (self.d * math.log(2 * math.pi) + np.log(values[keep]).sum())
             out.append((root, float(c)))
         return out
@@ -58,34 +65,36 @@ class Mixture:
 
 # ---- density ---------------------------------------------------------------------------------
 
-def log_pdfs(nums: Column, m: Mixture, floor: float = 0.0) -> list[Column]:
-    """ln pdf of each component as generated code."""
-    out = []
-    for (root, c), mu in zip(m.roots(floor), m.mu):
-        diff = [nums[j] - F.lit(float(mu[j])) for j in range(m.d)]
+def add_log_density(df: DataFrame, m: Mixture, weighted: bool = False, floor: float = 0.0,
+                    out: str = "score_num") -> DataFrame:
+    """Add ln of the sum of the component densities of ``nums``, unweighted unless asked for."""
+    roots, mu, weights = m.roots(floor), m.mu, m.weights
+    if m.terms > DENSITY_TERMS:
+
+        @F.pandas_udf("double")
+        def density(n: pd.Series) -> pd.Series:
+            x = np.stack(n.to_numpy()) if len(n) else np.zeros((0, mu.shape[1]))
+            return pd.Series(log_density_batch(x, roots, mu, weights if weighted else None))
+
+        return df.withColumn(out, density("nums"))
+    # Numerics and component terms are columns of their own: each is computed once.
+    rows = df.withColumns({
+        f"__x{j}": F.coalesce(F.col("nums")[j], F.lit(float("nan"))) for j in range(m.d)})
+    logs = {}
+    for i, (root, c) in enumerate(roots):
+        if weighted:
+            if weights[i] <= 0:
+                continue
+            c += math.log(weights[i])
         squares = []
         for row in root:
-            y = total([diff[j] * F.lit(float(row[j])) for j in range(m.d) if row[j] != 0.0])
+            y = total([(F.col(f"__x{j}") - F.lit(float(mu[i][j]))) * F.lit(float(row[j]))
+                       for j in range(m.d) if row[j] != 0.0])
             squares.append(y * y)
-        out.append(F.lit(c) - 0.5 * total(squares))
-    return out
-
-
-def log_density(nums: Column, m: Mixture, weighted: bool = False, floor: float = 0.0) -> Column:
-    """ln of the sum of the component densities, unweighted unless asked for."""
-    if m.d <= UNROLL_NUMS:
-        parts = log_pdfs(nums, m, floor)
-        if weighted:
-            parts = [p + F.lit(math.log(w)) for p, w in zip(parts, m.weights) if w > 0]
-        return log_sum_exp(parts)
-    roots, mu, weights = m.roots(floor), m.mu, m.weights
-
-    @F.pandas_udf("double")
-    def density(n: pd.Series) -> pd.Series:
-        x = np.stack(n.to_numpy()) if len(n) else np.zeros((0, mu.shape[1]))
-        return pd.Series(log_density_batch(x, roots, mu, weights if weighted else None))
-
-    return density(nums)
+        logs[f"__l{i}"] = F.lit(c) - 0.5 * total(squares)
+    rows = rows.withColumns(logs)
+    return rows.withColumn(out, log_sum_exp([F.col(c) for c in logs])).drop(
+        *logs, *[f"__x{j}" for j in range(m.d)])
 
 
 def log_pdf_batch(x, roots, mu):
@@ -107,7 +116,11 @@ def log_density_batch(x, roots, mu, weights=None):
 # ---- k-means and the initial mixture ---------------------------------------------------------
 
 def kmeans(sample: DataFrame, k: int, seed: int = 0, max_iter: int = KMEANS_ITERATIONS):
-    """Centres by Spark's k-means."""
+    """Centres by Spark's k-means; one centre is the mean."""
+    if k == 1:
+        means = sample.select(F.posexplode("nums").alias("pos", "x")).groupBy("pos").agg(
+            F.avg("x").alias("m")).orderBy("pos").collect()
+        return np.array([[r["m"] for r in means]])
     rows = sample.select(array_to_vector("nums").alias("features"))
     fitted = KMeans(k=k, maxIter=max_iter, seed=seed).fit(rows)
     return np.array([np.asarray(c) for c in fitted.clusterCenters()])
@@ -193,26 +206,25 @@ def em_sums(sample: DataFrame, m: Mixture, floor: float = 0.0) -> DataFrame:
     consts = constants([c for _, c in flat])
     mus = constants([float(v) for v in m.mu.ravel()])
     weights = constants([float(v) for v in m.weights])
-    nums = F.col("nums")
+    rows = sample.select(*[
+        F.coalesce(F.col("nums")[j], F.lit(float("nan"))).alias(f"x{j}") for j in range(d)])
+    x = [F.col(f"x{j}") for j in range(d)]
     p = []
     for i in range(m.k):
-        diff = [nums[j] - mus[i * d + j] for j in range(d)]
+        diff = [x[j] - mus[i * d + j] for j in range(d)]
         q = total([
-            (lambda y: y * y)(total([diff[j] * roots[(i * d + a) * d + j] for j in range(d)]))
+            (lambda y: y * y)(total([diff[j] * roots[(i * d + a) * d + j] for j in range(a, d)]))
             for a in range(d)
         ])
         p.append(F.lit(EPS) + weights[i] * F.exp(consts[i] - 0.5 * q))
-    rows = sample.select("nums", F.array(*p).alias("p"))
+    rows = rows.withColumn("p", F.array(*p))
     rows = rows.withColumn("t", total([F.col("p")[i] for i in range(m.k)]))
-    rows = rows.select("nums", "t", F.posexplode("p").alias("comp", "pc"))
-    r = F.col("pc") / F.col("t")
-    rows = rows.withColumn("r", r)
-    x = [nums[j] for j in range(d)]
-    return rows.groupBy("comp").agg(
-        F.sum(F.log("t")).alias("loglik"), F.count("*").alias("n"), F.sum("r").alias("r"),
-        *[F.sum(F.col("r") * x[j]).alias(f"s{j}") for j in range(d)],
-        *[F.sum(F.col("r") * x[i] * x[j]).alias(f"s{i}_{j}")
-          for i in range(d) for j in range(i, d)],
+    rows = rows.select("*", F.posexplode("p").alias("comp", "pc"))
+    r = F.col("r")
+    return rows.withColumn("r", F.col("pc") / F.col("t")).groupBy("comp").agg(
+        F.sum(F.log("t")).alias("loglik"), F.count("*").alias("n"), F.sum(r).alias("r"),
+        *[F.sum(r * x[j]).alias(f"s{j}") for j in range(d)],
+        *[F.sum(r * x[i] * x[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)],
     )
 
 
@@ -261,7 +273,7 @@ def _em_sums_wide(sample: DataFrame, m: Mixture, floor: float):
 
 def em_statistics(sample: DataFrame, m: Mixture, floor: float = 0.0):
     """One distributed E-step: (loglik, n, r, s, ss). Only the sums reach the driver."""
-    if m.d > UNROLL_NUMS:
+    if m.terms > EM_TERMS:
         return _em_sums_wide(sample, m, floor)
     k, d = m.k, m.d
     r, s, ss, ll, n = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0, 0

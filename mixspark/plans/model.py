@@ -34,8 +34,7 @@ class MixedModel:
         """Add score_cat, score_num and score to encoded rows. A narrow projection."""
         p = self.profile
         scored = lg.add_log_prob(encoded, self.w, p.d, len(p.cat_max), self.lam)
-        density = mx.log_density(F.col("nums"), self.mixture, self.weighted, self.floor)
-        scored = scored.withColumn("score_num", density)
+        scored = mx.add_log_density(scored, self.mixture, self.weighted, self.floor)
         return scored.withColumn("score", F.col("score_cat") + F.col("score_num"))
 
     def transform(self, view: DataFrame, handle_unseen: str = "zero") -> DataFrame:

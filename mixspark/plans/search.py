@@ -214,7 +214,7 @@ def _choose(results: DataFrame) -> tuple[DataFrame, dict]:
     params = ["combo", "k", "reg", "lr_start", "lr_speed", "lam"]
     means = ev.mean_auroc(results, params)
     row = ev.best_params(means).first()
-    if row is None:
+    if row is None or row["combo"] is None:
         raise ValueError("no combination has an AUROC: the test rows hold one class only")
     point = means.where(F.col("combo") == row["combo"]).first().asDict()
     return means, {**{n: point[n] for n in params}, "auroc": row["auroc"],

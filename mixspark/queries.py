@@ -332,10 +332,9 @@ def score_categorical(spark, d):
 
 def score_gaussian(spark, d):
     e, _ = _encoded(mv_orders(spark, d))
-    nums = F.col("nums")
-    return e.select(
-        "key", rounded(mx.log_density(nums, PAIR_MIXTURE)).alias("score_num"),
-        rounded(mx.log_density(nums, PAIR_MIXTURE, weighted=True)).alias("score_weighted"))
+    e = mx.add_log_density(e, PAIR_MIXTURE)
+    e = mx.add_log_density(e, PAIR_MIXTURE, weighted=True, out="score_weighted")
+    return e.select("key", *[rounded(c).alias(c) for c in ("score_num", "score_weighted")])
 
 
 def score_joint(spark, d):
@@ -425,12 +424,16 @@ def fold_sizes(spark, d):
 
 
 def _cv_results(spark, d):
-    out = None
+    """Several weight sets scored in one pass over the rows, then measured per fold."""
+    e, p = _encoded(mv_docs(spark, d))
+    rows = mx.add_log_density(ev.assign_folds(e, FOLDS, SEED), PAIR_MIXTURE)
     for i, seed in enumerate(WEIGHT_SEEDS):
-        part = _doc_scores(spark, d, seed).select(
-            "key", "score", "positive", F.lit(i).alias("combo"))
-        out = part if out is None else out.unionByName(part)
-    return ev.auroc(ev.assign_folds(out, FOLDS, SEED), ("combo", "fold"))
+        rows = lg.add_log_prob(rows, lg.init_weights(p.d + p.slots, seed), p.d, len(p.cat_max),
+                               out=f"c{i}")
+    scores = F.array(*[F.col(f"c{i}") + F.col("score_num") for i in range(len(WEIGHT_SEEDS))])
+    rows = rows.select("fold", ev.positive(F.col("label")).alias("positive"),
+                       F.posexplode(scores).alias("combo", "score"))
+    return ev.auroc(rows, ("combo", "fold"))
 
 
 def cv_scores(spark, d):
@@ -555,7 +558,8 @@ def rule_coverage_prefix(spark, d):
 
 def location_scale(spark, d):
     view = mv_orders(spark, d)
-    nums = es.location_scale([F.col("nums")[0], F.lit(-1.0)], [F.lit(10.0), F.lit(2.0)], "ls", SEED)
+    means = F.array(F.col("nums")[0], F.lit(-1.0))
+    nums = es.location_scale(means, F.array(F.lit(10.0), F.lit(2.0)), "ls", SEED)
     return view.select("key", nums.alias("x")).select(
         "key", rounded(F.col("x")[0]).alias("x0"), rounded(F.col("x")[1]).alias("x1"))
 
