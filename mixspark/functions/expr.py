@@ -42,10 +42,8 @@ def dot(array: Column, values) -> Column:
     return total([array[i] * c[i] for i in range(len(values))])
 
 
-def array_dot(a: Column, b: Column) -> Column:
-    """Dot product of two array columns of any length."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def array_total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+def kept_apart(c: Column) -> Column:
+    """The same value, marked as tied to its task, so that a filter on it stays above the projection
+    that computes it. Pushed below, the filter would repeat the columns the value is built from
+    once per use."""
+    return F.when(F.spark_partition_id() >= 0, c)

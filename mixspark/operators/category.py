@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +10,14 @@ from mixspark.operators.ordered import dense_index
 
 # Up to this many values in all are looked up through a broadcast table.
 BROADCAST_VALUES = 100_000
+BROADCAST_CHARS = 50_000_000
+# Up to this many values of a column are searched in a constant array instead: no join at all.
+INLINE_VALUES = 32
 
 
 def fit_categories(df: DataFrame, cols, limit: int = BROADCAST_VALUES) -> dict[str, list] | None:
-    """Sorted values per column, or None when there are more than ``limit`` in all. One pass for
-    all columns; never more than ``limit + 1`` values reach the driver."""
+    """Sorted values per column, or None when there are more than ``limit`` in all or they are too
+    long to broadcast. One pass for all columns; at most ``limit + 1`` values reach the driver."""
     cells = F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols
     ])
@@ -22,7 +26,7 @@ def fit_categories(df: DataFrame, cols, limit: int = BROADCAST_VALUES) -> dict[s
         .where("value IS NOT NULL").distinct()
     )
     rows = values.limit(limit + 1).collect()
-    if len(rows) > limit:
+    if len(rows) > limit or sum(len(r["value"]) for r in rows) > BROADCAST_CHARS:
         return None
     found: dict[str, list] = {c: [] for c in cols}
     for r in rows:
@@ -35,12 +39,16 @@ def apply_categories(df: DataFrame, values: dict[str, list], suffix: str = "_idx
     """Add ``<col>_idx``; null for a value not in the list."""
     spark = df.sparkSession
     for c, labels in values.items():
-        table = spark.createDataFrame(
-            [(v, i) for i, v in enumerate(labels)], f"`__{c}` string, `{c}{suffix}` int"
-        )
-        df = df.join(
-            F.broadcast(table), F.col(c).cast("string") == F.col(f"__{c}"), "left"
-        ).drop(f"__{c}")
+        text = F.col(c).cast("string")
+        if len(labels) <= INLINE_VALUES:
+            at = F.array_position(F.array(*[F.lit(v) for v in labels]).cast("array<string>"), text)
+            df = df.withColumn(c + suffix, (F.nullif(at, F.lit(0)) - 1).cast("int"))
+            continue
+        table = spark.createDataFrame(pa.table({
+            f"__{c}": pa.array(labels, pa.string()),
+            c + suffix: pa.array(range(len(labels)), pa.int32()),
+        }))
+        df = df.join(F.broadcast(table), text == F.col(f"__{c}"), "left").drop(f"__{c}")
     return df
 
 

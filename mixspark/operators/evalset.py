@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from mixspark.functions.expr import constants, total
 from mixspark.functions.rand import first_hit, normal, uniform
 from mixspark.operators.encode import set_category
-from mixspark.operators.ordered import ranked_values
+from mixspark.operators.ordered import kth_lowest, ranked_values
 
 # Rows a single expanded chunk stands for.
 CHUNK = 65_536
@@ -238,15 +239,25 @@ def split_by_fraction(view: DataFrame, train: float, dev: float, seed=0) -> Data
 def split_by_position(view: DataFrame, train: int, dev: int, test: int,
                       order: str = "key") -> DataFrame:
     """Exact set sizes: the first rows in order of a unique column train, the next dev, then test;
-    rows beyond are left out. Ranked in buckets, nothing passes through one task."""
+    rows beyond are left out. For a numeric column the sets are cut at exact order statistics and
+    no row moves; another column is ranked in buckets."""
+    names = ("train", "dev", "test")
+    ends = [train, train + dev, train + dev + test]
+    if isinstance(view.schema[order].dataType, NumericType):
+        n, split = view.count(), None
+        for name, end in zip(names, ends):
+            if end >= n:
+                here = F.lit(True)
+            elif end < 1:
+                here = F.lit(False)
+            else:
+                here = F.col(order) <= F.lit(kth_lowest(view, order, end)[0])
+            split = F.when(here, name) if split is None else split.when(here, name)
+        return view.withColumn("split", split).where("split IS NOT NULL")
     ranked = ranked_values(view, order, "__pos")
     p = F.col("__pos")
-    return (
-        ranked.where(p < train + dev + test)
-        .withColumn("split", F.when(p < train, "train").when(p < train + dev, "dev")
-                    .otherwise("test"))
-        .drop("__pos")
-    )
+    split = F.when(p < ends[0], "train").when(p < ends[1], "dev").when(p < ends[2], "test")
+    return ranked.withColumn("split", split).where("split IS NOT NULL").drop("__pos")
 
 
 def set_summary(view: DataFrame) -> DataFrame:

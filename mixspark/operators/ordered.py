@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixspark.functions.rand import uniform
+from mixspark.sources.scratch import stored
 
 INF = float("inf")
 HOT_SHARE = 1.0 / 1024
@@ -83,17 +84,20 @@ def ranked_values(values: DataFrame, col: str, rank: str) -> DataFrame:
 def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
     """Dense rank from 0 of a column of any cardinality, joined back to the rows. Values that hold
     more than 1/1024 of the rows (at most 1023 of them) go by broadcast, the rest by shuffle, so
-    no join task gets a hot key."""
+    no join task gets a hot key. The ranked values are written once to the shared folder."""
     keyed = df.withColumn("__v", F.col(col).cast("string"))
-    counts = keyed.where("__v IS NOT NULL").groupBy("__v").agg(F.count("*").alias("__c"))
-    hot_at = F.lit(HOT_SHARE * max(df.count(), 1))
+    counts = stored(
+        keyed.where("__v IS NOT NULL").groupBy("__v").agg(F.count("*").alias("__c")), "values")
+    rows = counts.agg(F.sum("__c")).first()[0] or 0
     ranked = ranked_values(counts, "__v", out).withColumn(out, F.col(out).cast("int"))
-    hot = ranked.where(F.col("__c") > hot_at).select("__v", out)
+    ranked = stored(ranked, "ranks")
+    hot_at = F.lit(HOT_SHARE * rows)
+    hot = F.broadcast(ranked.where(F.col("__c") > hot_at).select("__v", out))
     cold = ranked.where(F.col("__c") <= hot_at).select("__v", out)
     unknown = keyed.where("__v IS NULL").withColumn(out, F.lit(None).cast("int"))
     return (
-        keyed.join(F.broadcast(hot), "__v")
-        .unionByName(keyed.join(F.broadcast(hot), "__v", "left_anti").join(cold, "__v"))
+        keyed.join(hot, "__v")
+        .unionByName(keyed.join(hot, "__v", "left_anti").join(cold, "__v"))
         .unionByName(unknown)
         .drop("__v")
     )
@@ -103,8 +107,9 @@ GRID = 500
 ACCURACY = 10_000
 
 
-def kth_lowest(df: DataFrame, col: str, rank, small: int = 10_000) -> tuple[float, int, int]:
-    """Exact k-th lowest value as (value, k, rows); ``rank`` is k or a function of the row count.
+def kth_lowest(df: DataFrame, col: str, rank, small: int = 10_000) -> tuple:
+    """Exact k-th lowest value of a numeric column as (value, k, rows); ``rank`` is k or a function
+    of the row count.
 
     Each pass is one aggregate with partial aggregation: quantile sketches cut the bracket that holds
     the rank by a factor of a few hundred, until its distinct values fit on the driver. The table
@@ -135,6 +140,8 @@ def kth_lowest(df: DataFrame, col: str, rank, small: int = 10_000) -> tuple[floa
         lo = q[i] if i > 0 or lo is None else lo
         hi = q[j] if j < GRID or hi is None else hi
         before, size = size, row["n"] * (j - i + 1) / GRID
+        if isinstance(lo, int):  # sketches hold doubles: large integers come back rounded
+            lo, hi = lo - (abs(lo) >> 52), hi + (abs(hi) >> 52)
         if lo == hi or (before is not None and size > before / 2):
             break
     while True:
@@ -148,7 +155,7 @@ def kth_lowest(df: DataFrame, col: str, rank, small: int = 10_000) -> tuple[floa
                 break
             last = r
         if r["side"] == 1 and seen >= k:
-            return float(r["v"]), k, n
+            return r["v"], k, n
         if r["side"] == 0 and seen >= k:
             lo = -INF  # a sketch outside its error bound
         elif r["side"] == 2:

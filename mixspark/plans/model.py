@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mixspark.functions.expr import kept_apart
 from mixspark.operators import logistic as lg
 from mixspark.operators import mixture as mx
 from mixspark.operators.encode import encode
@@ -35,7 +36,7 @@ class MixedModel:
         p = self.profile
         scored = lg.add_log_prob(encoded, self.w, p.d, len(p.cat_max), self.lam)
         scored = mx.add_log_density(scored, self.mixture, self.weighted, self.floor)
-        return scored.withColumn("score", F.col("score_cat") + F.col("score_num"))
+        return scored.withColumn("score", kept_apart(F.col("score_cat") + F.col("score_num")))
 
     def transform(self, view: DataFrame, handle_unseen: str = "zero") -> DataFrame:
         """Score a mixed view, batch or streaming; its own columns stay as they were."""

@@ -213,10 +213,12 @@ def _prepare(view: DataFrame, prof: Profile, handle_unseen: str = "zero") -> Dat
 def _choose(results: DataFrame) -> tuple[DataFrame, dict]:
     params = ["combo", "k", "reg", "lr_start", "lr_speed", "lam"]
     means = ev.mean_auroc(results, params)
+    rows = means.collect()  # one row per combination
+    means = results.sparkSession.createDataFrame(rows, means.schema)
     row = ev.best_params(means).first()
     if row is None or row["combo"] is None:
         raise ValueError("no combination has an AUROC: the test rows hold one class only")
-    point = means.where(F.col("combo") == row["combo"]).first().asDict()
+    point = next(r for r in rows if r["combo"] == row["combo"])
     return means, {**{n: point[n] for n in params}, "auroc": row["auroc"],
                    "inverted": row["inverted"]}
 

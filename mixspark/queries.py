@@ -299,7 +299,9 @@ def em_step(spark, d):
 
 def kmeans_fit(spark, d):
     e, _ = _encoded(mv_embed(spark, d))
-    centres = mx.kmeans(e.select("nums").persist(), 4, SEED)
+    sample = e.select("nums").persist()
+    centres = mx.kmeans(sample, 4, SEED)
+    sample.unpersist()
     return spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(centres)],
         "comp int, centre array<double>")
@@ -357,7 +359,7 @@ def score_lineitem(spark, d):
 def threshold_exact(spark, d):
     scored = _event_scores(spark, d)
     t, k, n = sc.threshold_exact(scored, RATIO)
-    return scored.where(F.col("score") <= t).agg(F.count("*").alias("flagged")).select(
+    return scored.agg(F.count_if(F.col("score") <= t).alias("flagged")).select(
         F.lit(n).cast("bigint").alias("n"), F.lit(k).cast("bigint").alias("k"),
         rounded(F.lit(t)).alias("threshold"), "flagged")
 
@@ -365,8 +367,8 @@ def threshold_exact(spark, d):
 def threshold_approx(spark, d):
     scored = _event_scores(spark, d)
     t = sc.threshold_approx(scored, RATIO)
-    return scored.where(F.col("score") <= t).agg(
-        F.count("*").alias("flagged"), F.max("score").alias("threshold"))
+    return scored.agg(F.count_if(F.col("score") <= t).alias("flagged"),
+                      F.lit(t).alias("threshold"))
 
 
 def score_minmax(spark, d):

@@ -22,8 +22,8 @@ def mixed_view(df: DataFrame, key, cats, nums, label=None, keep=()) -> DataFrame
     makes them); ``label`` is 1 for a known anomaly."""
     out = [
         _col(key).cast("string").alias("key"),
-        _array(list(cats), "int").alias("cats"),
-        _array(list(nums), "double").alias("nums"),
+        _array(list(cats), "int").alias("cats", metadata={"size": len(cats)}),
+        _array(list(nums), "double").alias("nums", metadata={"size": len(nums)}),
     ]
     if label is not None:
         out.append((_col(label) == 1).cast("int").alias("label"))
@@ -37,7 +37,7 @@ def vector_view(df: DataFrame, n_cats: int, key, features="features", label="lab
     n = F.size(f)
     return df.select(
         _col(key).cast("string").alias("key"),
-        F.slice(f, 1, n_cats).cast("array<int>").alias("cats"),
+        F.slice(f, 1, n_cats).cast("array<int>").alias("cats", metadata={"size": n_cats}),
         F.slice(f, n_cats + 1, F.greatest(n - n_cats, F.lit(0))).alias("nums"),
         (_col(label) == 1).cast("int").alias("label"),
         *[_col(k) for k in keep],

@@ -37,6 +37,12 @@ def test_kth_lowest(spark, values, k):
     assert ordered.kth_lowest(df, "s", k, small=50)[0] == want
 
 
+def test_kth_lowest_of_large_integers(spark):
+    df = spark.range(3000).select((F.col("id") * 7 + 2**60).alias("s"))
+    for k in (1, 1500, 3000):
+        assert ordered.kth_lowest(df, "s", k, small=20)[0] == 2**60 + 7 * (k - 1)
+
+
 def test_dense_index_with_a_hot_value(spark):
     values = ["hot"] * 700 + [f"v{i % 300:03d}" for i in range(1300)] + [None] * 3
     df = spark.createDataFrame(list(enumerate(values)), "id int, v string")
@@ -48,9 +54,10 @@ def test_dense_index_with_a_hot_value(spark):
     assert all(r["v_idx"] == got[r["id"]] for r in small)
 
 
-def test_split_by_position(spark):
-    df = spark.range(1000).withColumn("key", F.col("id").cast("string")).repartition(7)
-    got = es.split_by_position(df, 500, 300, 150, "id").groupBy("split").agg(
+@pytest.mark.parametrize("order", ["id", "text"])
+def test_split_by_position(spark, order):
+    df = spark.range(1000).withColumn("text", F.format_string("%05d", "id")).repartition(7)
+    got = es.split_by_position(df, 500, 300, 150, order).groupBy("split").agg(
         F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
     assert {r["split"]: (r["n"], r["lo"], r["hi"]) for r in got} == {
         "train": (500, 0, 499), "dev": (300, 500, 799), "test": (150, 800, 949)}
