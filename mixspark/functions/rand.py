@@ -26,7 +26,7 @@ def _text(parts) -> Column:
 def uniform(*parts) -> Column:
     """U[0,1) from the md5 of the parts joined by '|'. Columns or plain values."""
     digits = F.substring(F.md5(_text(parts)), 1, _DIGITS)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(_SCALE)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(_SCALE)
 
 
 def uniform_value(*parts) -> float:

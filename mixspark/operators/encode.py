@@ -20,12 +20,15 @@ def scaled(nums: Column, p: Profile) -> Column:
 
 
 def slot_array(cats: Column, p: Profile, handle_unseen: str = "error") -> Column:
-    """One-hot position of each categorical. A value outside the profile is an error, or with
+    """One-hot position of each categorical; of an indicator its own position if it is 1. A value outside the profile is an error, or with
     ``handle_unseen="zero"`` a null: none of that variable's slots is set."""
     if handle_unseen not in ("error", "zero"):
         raise ValueError("handle_unseen must be 'error' or 'zero'")
     out = []
     for v, (start, width) in enumerate(zip(p.offsets, p.widths)):
+        if p.indicator:
+            out.append(F.when(cats[v] == 1, F.lit(v)))
+            continue
         seen = cats[v].between(0, width - 1)
         bad = F.lit(None).cast("int")
         if handle_unseen == "error":

@@ -7,8 +7,9 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mixspark.functions.expr import constants
 from mixspark.functions.rand import uniform_int
-from mixspark.operators.ordered import bucket_count, number_bucket, number_edges
+from mixspark.operators.ordered import INF, bucket_count, number_bucket, number_edges
 
 
 def positive(label: Column) -> Column:
@@ -16,18 +17,42 @@ def positive(label: Column) -> Column:
     return (1 - label).cast("double")
 
 
+def between_cuts(df: DataFrame, col: str, cuts: list[float]) -> DataFrame:
+    """Replace values by their place among the cut points: odd at a cut point, even between two."""
+    cut = number_bucket(df, col, cuts, "__cut")
+    at = F.get(constants(cuts), F.col("__cut") - 1) == F.col(col)
+    place = 2.0 * F.col("__cut") - F.when(at, 1.0).otherwise(0.0)
+    return cut.withColumn(col, place).drop("__cut")
+
+
+# Up to this many rows of the rarer class, their scores serve as cut points.
+RARE_ROWS = 20_000
+
+
 def auroc(scored: DataFrame, by=(), score: str = "score", pos: str = "positive",
           edges: list[float] | None = None) -> DataFrame:
     """Exact area under the ROC curve per group, ties by the trapezoid rule.
 
     Equal scores are counted together before any shuffle, so a score shared by a third of the rows
     is one row. Ranks come from running totals inside score buckets plus the totals of the buckets
-    below; no task sees more than a bucket.
+    below; no task sees more than a bucket. When one class is rare, all that matters of the other
+    class is how many rows fall between its scores, and only those counts are shuffled.
     """
     by = list(by)
+    # + 0.0 makes -0.0 and 0.0 one score.
+    flags = scored.select(*by, (F.col(score) + 0.0).alias(score),
+                          (F.col(pos) > 0.5).cast("long").alias("p"))
     if edges is None:
-        edges = number_edges(scored, score, bucket_count(scored))
-    flags = scored.select(*by, score, (F.col(pos) > 0.5).cast("long").alias("p"))
+        buckets = bucket_count(scored)
+        edges, counts = number_edges(flags, score, buckets, F.sum("p"), F.sum(1 - F.col("p")))
+        few = min(counts, key=lambda c: c or 0)
+        if few and few <= RARE_ROWS:
+            rare = 1 if few == counts[0] else 0
+            rows = flags.where(F.col("p") == rare).select(score).distinct().collect()
+            cuts = sorted(r[0] for r in rows)
+            if abs(cuts[0]) != INF and abs(cuts[-1]) != INF:
+                flags = between_cuts(flags, score, cuts)
+                edges = [2.0 * i + 1.5 for i in range(0, len(cuts), max(1, len(cuts) // buckets))]
     ties = flags.groupBy(*by, score).agg(
         F.sum("p").alias("p"), (F.count("*") - F.sum("p")).alias("q"))
     cut = number_bucket(ties, score, edges, "__bucket")

@@ -21,18 +21,19 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, min(4096, 4 * n))
 
 
-def number_edges(df: DataFrame, col: str, buckets: int) -> list[float]:
-    """Ascending cut points so that buckets hold about equal numbers of rows. Edges only balance
-    the work; results never depend on where they fall."""
-    probs = [(i + 1) / buckets for i in range(buckets - 1)]
+def number_edges(df: DataFrame, col: str, buckets: int, *extra) -> tuple[list[float], list]:
+    """Ascending cut points so that buckets hold about equal numbers of rows, and the values of extra
+    aggregates from the same pass. Edges only balance the work; results never depend on them."""
+    probs = np.arange(1, buckets) / buckets
+    sketch = F.kll_sketch_agg_double(F.when(~F.isnan(col), F.col(col)), F.lit(min(4096, 4 * buckets)))
     row = df.agg(
-        F.percentile_approx(F.col(col), F.lit(np.array(probs)), 10 * buckets)
-        .alias("edges"),
-        F.count_if(F.isnan(col)).alias("bad"),
+        F.kll_sketch_get_quantile_double(sketch, F.lit(probs)).alias("edges"),
+        F.count_if(F.isnan(col)).alias("bad"), *extra,
     ).first()
     if row["bad"]:
         raise ValueError(f"{row['bad']} values of {col} are not a number")
-    return sorted({float(e) for e in (row["edges"] or []) if abs(e) != INF})
+    edges = {float(e) for e in (row["edges"] or []) if e is not None and abs(e) != INF}
+    return sorted(edges), list(row[2:])
 
 
 def number_bucket(df: DataFrame, col: str, edges, out: str = "bucket") -> DataFrame:
@@ -103,11 +104,12 @@ def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
     )
 
 
-GRID = 500
-ACCURACY = 10_000
+# Quantiles looked at in a pass, and the accuracy of their sketch: its rank error is at most 1/2000.
+GRID = 1000
+ACCURACY = 2000
 
 
-def kth_lowest(df: DataFrame, col: str, rank, small: int = 10_000) -> tuple:
+def kth_lowest(df: DataFrame, col: str, rank, small: int = 100_000) -> tuple:
     """Exact k-th lowest value of a numeric column as (value, k, rows); ``rank`` is k or a function
     of the row count.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +16,14 @@ RANGE_FLOOR = 1e-13
 
 @dataclass(frozen=True)
 class Profile:
-    """Row count, largest value of each categorical, limits of each numeric."""
+    """Row count, largest value of each categorical, limits of each numeric. With ``indicator`` the
+    categoricals are 0/1 already and each is its own slot."""
 
     n: int
     cat_max: tuple[int, ...]
     num_min: tuple[float, ...]
     num_max: tuple[float, ...]
+    indicator: bool = False
 
     @property
     def d(self) -> int:
@@ -29,7 +31,7 @@ class Profile:
 
     @property
     def widths(self) -> tuple[int, ...]:
-        return tuple(m + 1 for m in self.cat_max)
+        return tuple(1 if self.indicator else m + 1 for m in self.cat_max)
 
     @property
     def offsets(self) -> tuple[int, ...]:
@@ -42,7 +44,7 @@ class Profile:
     @property
     def combinations(self) -> float:
         """Number of different categorical rows."""
-        return float(math.prod(self.widths))
+        return float(math.prod(2 if self.indicator else w for w in self.widths))
 
     @property
     def spans(self) -> tuple[float, ...]:
@@ -53,9 +55,6 @@ class Profile:
         loose = tuple(m + 1 if m > 1 else 1 for m in self.cat_max)
         return Profile(self.n, loose, self.num_min, self.num_max)
 
-    def indicator_combinations(self) -> float:
-        return 2.0 ** len(self.cat_max)
-
 
 def dimensions(view: DataFrame) -> tuple[int, int]:
     """(categoricals, numerics): as noted on the columns by the view, else from the first row."""
@@ -114,8 +113,11 @@ def _from_positions(rows) -> dict[str, float]:
     return out
 
 
-def profile(view: DataFrame, dims: tuple[int, int] | None = None) -> Profile:
+def profile(view: DataFrame, dims: tuple[int, int] | None = None,
+            encoding: str = "onehot") -> Profile:
     """Profile of a mixed view: one aggregate with partial aggregation on the map side."""
+    if encoding not in ("onehot", "indicator"):
+        raise ValueError("encoding must be 'onehot' or 'indicator'")
     n_cats, n_nums = dims or dimensions(view)
     if n_cats + n_nums > WIDE:
         row = _from_positions(limits_by_position(view).collect())
@@ -123,7 +125,12 @@ def profile(view: DataFrame, dims: tuple[int, int] | None = None) -> Profile:
         row = view.agg(*limit_columns(n_cats, n_nums)).first()
     if not row["n"]:
         raise ValueError("the table is empty")
-    return _profile(row, n_cats, n_nums)
+    p = _profile(row, n_cats, n_nums)
+    if encoding == "onehot":
+        return p
+    if max(p.cat_max, default=0) > 1:
+        raise ValueError("indicators must be 0 or 1")
+    return replace(p, indicator=True)
 
 
 def profiles_without(view: DataFrame, fold: str, folds: int,

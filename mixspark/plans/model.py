@@ -35,7 +35,10 @@ class MixedModel:
         """Add score_cat, score_num and score to encoded rows. A narrow projection."""
         p = self.profile
         scored = lg.add_log_prob(encoded, self.w, p.d, len(p.cat_max), self.lam)
-        scored = mx.add_log_density(scored, self.mixture, self.weighted, self.floor)
+        if self.mixture is None:  # no numerics
+            scored = scored.withColumn("score_num", F.lit(0.0))
+        else:
+            scored = mx.add_log_density(scored, self.mixture, self.weighted, self.floor)
         return scored.withColumn("score", kept_apart(F.col("score_cat") + F.col("score_num")))
 
     def transform(self, view: DataFrame, handle_unseen: str = "zero") -> DataFrame:
@@ -51,7 +54,8 @@ class MixedModel:
 def fit(view: DataFrame, params: lg.LogisticParams | None = None, k: int = 4,
         anomaly_ratio: float = 0.03, max_iterations: int = 100, minibatch: int = 100, seed: int = 0,
         solver: str = "auto", init_cov: str = "std", floor: float = 1e-9, weighted: bool = False,
-        train_on: str = "all", prof: Profile | None = None) -> MixedModel:
+        train_on: str = "all", prof: Profile | None = None,
+        encoding: str = "onehot") -> MixedModel:
     """Fit on a mixed view. Two passes over the data: one for the profile, one that draws the
     minibatches and the mixture's sample together; all later work is on those bounded draws."""
     if train_on not in ("all", "normal"):
@@ -59,7 +63,7 @@ def fit(view: DataFrame, params: lg.LogisticParams | None = None, k: int = 4,
     params = params or lg.LogisticParams()
     rows = view.where("label = 0") if train_on == "normal" else view
     if prof is None:
-        prof = profile(rows)
+        prof = profile(rows, encoding=encoding)
         n = prof.n
     else:
         n = rows.count()
@@ -81,7 +85,9 @@ def fit(view: DataFrame, params: lg.LogisticParams | None = None, k: int = 4,
             taken if pooled else encoded, n, d, slots, params, max_iterations, minibatch, seed,
             "pooled" if pooled else "aggregate")
         sample = draw_steps(taken, 1, mix_f, "mix", seed)
-        if mixture_target(k, anomaly_ratio) * max(d, 1) <= mx.SAMPLE_CELLS:
+        if d == 0:
+            mixture = None
+        elif mixture_target(k, anomaly_ratio) * d <= mx.SAMPLE_CELLS:
             rows = sample.select("grp", F.lit(k).alias("k"), "nums")
             row = mx.fit_grouped(rows, seed, init_cov, floor).first()
             mixture = mx.mixture_from_row(row, d)

@@ -186,8 +186,8 @@ def run_grid(rows: DataFrame, profs: dict[int, Profile], sizes: dict[int, int],
         part = points[a:a + block]
         models = fit_grid(rows, profs, sizes, part, max_iterations, minibatch, seed, init_cov, floor)
         few = rows.where(uniform(F.col("key"), "edge") < F.lit(min(1.0, EDGE_ROWS / max(n_rows, 1))))
-        edges = number_edges(score_grid(few, profs, models, weighted, floor), "score",
-                             bucket_count(rows))
+        edges, _ = number_edges(score_grid(few, profs, models, weighted, floor), "score",
+                                bucket_count(rows))
         scored = score_grid(rows, profs, models, weighted, floor)
         found = {(r["combo"], r["grp"]): r
                  for r in ev.auroc(scored, ("combo", "grp"), edges=edges).collect()}

@@ -143,9 +143,11 @@ def loose_widths(spark, d):
 
 def discrete_combinations(spark, d):
     p = pf.profile(mv_orders(spark, d))
-    return table(spark, d, "labels").agg(F.count("*").alias("n_labels")).select(
+    labels = table(spark, d, "labels")
+    i = pf.profile(mixed_view(labels, "doc_id", ["quality", "toxic"], []), encoding="indicator")
+    return labels.agg(F.count("*").alias("n_labels")).select(
         F.lit(p.combinations).alias("combinations"), F.lit(p.slots).alias("slots"),
-        F.lit(2.0 ** 2).alias("indicator_combinations"), "n_labels")
+        F.lit(i.combinations).alias("indicator_combinations"), "n_labels")
 
 
 def onehot_slots(spark, d):

@@ -65,7 +65,7 @@ def test_split_by_position(spark, order):
 
 # ---- AUROC -----------------------------------------------------------------------------------
 
-def test_auroc_against_the_library(spark):
+def test_auroc_against_the_library(spark, monkeypatch):
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     s = np.round(RNG.normal(size=5000), 1) + 0.0  # no -0.0: the library takes it for another score
     s[:1700] = 0.3  # a third of the rows share a score
@@ -83,6 +83,10 @@ def test_auroc_against_the_library(spark):
     by = {r["g"]: r["auroc"] for r in ev.auroc(df, ("g",)).collect()}
     for g in range(3):
         assert by[g] == pytest.approx(library.evaluate(df.where(F.col("g") == g)), abs=1e-12)
+    monkeypatch.setattr(ev, "RARE_ROWS", 0)  # the path for two large classes
+    assert ev.auroc(df).first()["auroc"] == pytest.approx(got, abs=1e-12)
+    for r in ev.auroc(df, ("g",)).collect():
+        assert r["auroc"] == pytest.approx(by[r["g"]], abs=1e-12)
     # Edges balance the work only.
     odd = ev.auroc(df, edges=[-5.0, 0.3, 0.31]).first()["auroc"]
     assert odd == pytest.approx(got, abs=1e-12)
@@ -181,6 +185,29 @@ def test_wide_rows(spark):
     assert np.allclose(model.w, slow.w, atol=1e-12)
 
 
+def test_indicators(spark):
+    v = frame(spark, n=200, widths=(2, 2, 2))
+    p = pf.profile(v, encoding="indicator")
+    assert (p.slots, p.combinations) == (3, 8.0)
+    model = fit(v, k=2, max_iterations=8, encoding="indicator")
+    rows = model.transform(v).toPandas()
+    x = (np.stack(rows["nums"]) - np.array(p.num_min)) / np.array(p.spans)
+    m = (x @ model.w[:2])[:, None] + model.w[2:]
+    z = 2 * np.stack(rows["cats"]) - 1
+    assert np.allclose(rows["score_cat"], -np.logaddexp(0, -z * m).sum(axis=1))
+    with pytest.raises(ValueError, match="0 or 1"):
+        pf.profile(frame(spark), encoding="indicator")
+
+
+def test_no_numerics_or_no_categoricals(spark):
+    v = frame(spark, n=200)
+    cats = v.withColumn("nums", F.array().cast("array<double>"))
+    assert np.isfinite(fit(cats, max_iterations=5).transform(cats).toPandas()["score"]).all()
+    nums = v.withColumn("cats", F.array().cast("array<int>"))
+    scored = fit(nums, k=2, max_iterations=5).transform(nums).toPandas()
+    assert (scored["score_cat"] == 0).all() and np.isfinite(scored["score"]).all()
+
+
 # ---- mixture ---------------------------------------------------------------------------------
 
 def blobs(spark, d=2):
