@@ -300,6 +300,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the smallest of its component. Rows
+    that repeat that id stay, as do rows without an id."""
+    gone = jaccard_join(docs, id_col, text_col, **options).where("doc_id > component_id").select(
+        F.col("doc_id").alias("_jj_id"))
+    return docs.join(gone, F.col(id_col) == F.col("_jj_id"), "left_anti")
+
+
 def _sets(texts: DataFrame, nodes: DataFrame, entries: DataFrame, width: int) -> DataFrame:
     """The whole rows of the sets that any pair may need, one for each digest."""
     needed = entries.select("s").distinct()

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixspark.llm import decontaminate as dc
 from mixspark.llm import exact_dedup as dd
 from mixspark.llm import jaccard_join as jj
+from mixspark.llm import packing as pk
+from mixspark.llm import quality as ql
+from mixspark.llm.common import fold
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_best_fit_pack(spark, d):
+    """A token is a UTF-8 byte, with one end a document."""
+    return pk.best_fit_pack(table(spark, d, "documents"), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+
+
 def op4_decontaminate(spark, d):
     found = dc.find_hits(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     return found.select(
@@ -31,4 +40,12 @@ def op7_exact_dedup(spark, d):
     return dd.exact_dedup(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_jaccard_join, op7_exact_dedup)}
+def op10_quality(spark, d):
+    scored = ql.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "_quality.*",
+                         (F.col("_quality.score") >= ql.KEEP_AT).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_decontaminate, op5_jaccard_join, op7_exact_dedup,
+                                   op10_quality)}
+QUERIES["pipeline"] = corpus_pipeline.run
