@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mixspark.llm import ctw
 from mixspark.llm import decontaminate as dc
 from mixspark.llm import exact_dedup as dd
 from mixspark.llm import jaccard_join as jj
@@ -18,6 +19,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_ctw_scores(spark, d):
+    return ctw.ctw_scores(table(spark, d, "documents"))
+
+
 def op2_best_fit_pack(spark, d):
     """A token is a UTF-8 byte, with one end a document."""
     return pk.best_fit_pack(table(spark, d, "documents"), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
@@ -46,6 +51,6 @@ def op10_quality(spark, d):
                          (F.col("_quality.score") >= ql.KEEP_AT).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_decontaminate, op5_jaccard_join, op7_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_ctw_scores, op2_best_fit_pack, op4_decontaminate, op5_jaccard_join, op7_exact_dedup,
                                    op10_quality)}
 QUERIES["pipeline"] = corpus_pipeline.run
