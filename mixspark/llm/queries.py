@@ -12,6 +12,7 @@ from mixspark.llm import exact_dedup as dd
 from mixspark.llm import jaccard_join as jj
 from mixspark.llm import packing as pk
 from mixspark.llm import quality as ql
+from mixspark.llm import toxicity as tx
 from mixspark.llm.common import fold
 
 
@@ -28,6 +29,10 @@ def op2_best_fit_pack(spark, d):
     return pk.best_fit_pack(table(spark, d, "documents"), F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
 
 
+def op3_toxicity(spark, d):
+    return tx.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op4_decontaminate(spark, d):
     found = dc.find_hits(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
     return found.select(
@@ -51,6 +56,6 @@ def op10_quality(spark, d):
                          (F.col("_quality.score") >= ql.KEEP_AT).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_scores, op2_best_fit_pack, op4_decontaminate, op5_jaccard_join, op7_exact_dedup,
+QUERIES = {f.__name__: f for f in (op1_ctw_scores, op2_best_fit_pack, op3_toxicity, op4_decontaminate, op5_jaccard_join, op7_exact_dedup,
                                    op10_quality)}
 QUERIES["pipeline"] = corpus_pipeline.run
