@@ -10,6 +10,7 @@ from mixspark.llm import ctw
 from mixspark.llm import decontaminate as dc
 from mixspark.llm import exact_dedup as dd
 from mixspark.llm import jaccard_join as jj
+from mixspark.llm import language as lg
 from mixspark.llm import packing as pk
 from mixspark.llm import quality as ql
 from mixspark.llm import toxicity as tx
@@ -50,6 +51,10 @@ def op7_exact_dedup(spark, d):
     return dd.exact_dedup(table(spark, d, "documents"))
 
 
+def op9_language_id(spark, d):
+    return lg.language(table(spark, d, "documents"))
+
+
 def op10_quality(spark, d):
     scored = ql.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "_quality.*",
@@ -57,5 +62,5 @@ def op10_quality(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (op1_ctw_scores, op2_best_fit_pack, op3_toxicity, op4_decontaminate, op5_jaccard_join, op7_exact_dedup,
-                                   op10_quality)}
+                                   op9_language_id, op10_quality)}
 QUERIES["pipeline"] = corpus_pipeline.run
