@@ -13,6 +13,7 @@ from mixspark.llm import jaccard_join as jj
 from mixspark.llm import language as lg
 from mixspark.llm import packing as pk
 from mixspark.llm import quality as ql
+from mixspark.llm import secrets as se
 from mixspark.llm import toxicity as tx
 from mixspark.llm.common import fold
 
@@ -51,6 +52,14 @@ def op7_exact_dedup(spark, d):
     return dd.exact_dedup(table(spark, d, "documents"))
 
 
+def op8_secret_scan(spark, d):
+    found = se.scan(table(spark, d, "documents"))
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in se.KINDS[:3]],
+        F.sha2(se.named(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        se.named(F.concat("base", "added")).alias("spans"))
+
+
 def op9_language_id(spark, d):
     return lg.language(table(spark, d, "documents"))
 
@@ -62,5 +71,5 @@ def op10_quality(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (op1_ctw_scores, op2_best_fit_pack, op3_toxicity, op4_decontaminate, op5_jaccard_join, op7_exact_dedup,
-                                   op9_language_id, op10_quality)}
+                                   op8_secret_scan, op9_language_id, op10_quality)}
 QUERIES["pipeline"] = corpus_pipeline.run
