@@ -14,6 +14,7 @@ from mixspark.llm import language as lg
 from mixspark.llm import packing as pk
 from mixspark.llm import quality as ql
 from mixspark.llm import secrets as se
+from mixspark.llm import token_counts as tc
 from mixspark.llm import toxicity as tx
 from mixspark.llm.common import fold
 
@@ -48,6 +49,10 @@ def op5_jaccard_join(spark, d):
     return jj.jaccard_join(table(spark, d, "documents"))
 
 
+def op6_token_counts(spark, d):
+    return tc.count_tokens(table(spark, d, "documents"), tc.drawn_edits())
+
+
 def op7_exact_dedup(spark, d):
     return dd.exact_dedup(table(spark, d, "documents"))
 
@@ -70,6 +75,7 @@ def op10_quality(spark, d):
                          (F.col("_quality.score") >= ql.KEEP_AT).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw_scores, op2_best_fit_pack, op3_toxicity, op4_decontaminate, op5_jaccard_join, op7_exact_dedup,
-                                   op8_secret_scan, op9_language_id, op10_quality)}
+QUERIES = {f.__name__: f for f in (
+    op1_ctw_scores, op2_best_fit_pack, op3_toxicity, op4_decontaminate, op5_jaccard_join, op6_token_counts,
+    op7_exact_dedup, op8_secret_scan, op9_language_id, op10_quality)}
 QUERIES["pipeline"] = corpus_pipeline.run
