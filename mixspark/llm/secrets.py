@@ -3,7 +3,7 @@ against ordinary identifiers.
 
 The two models are bigram tables, counted from labelled samples: values that the fixed patterns
 matched, and words of the same texts that no pattern touches. A long run of token characters is a
-secret when its mean log-likelihood ratio is above a threshold set on ordinary runs.
+secret when its mean log-likelihood ratio is above a threshold set between both samples.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST_RUN = 20
 RUN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])"
 ORDINARY = "[A-Za-z][A-Za-z0-9_-]{3,}"
-#: The threshold is above this share of ordinary runs, and never below LEAST_RATIO nats a character.
-QUANTILE, LEAST_RATIO = 0.9995, 0.5
+#: The threshold is halfway between the medians of both samples, and never below so many nats a pair.
+LEAST_RATIO = 0.5
 STATES = len(ALPHABET) + 1
+#: Pseudo-counts of the single characters' shares in each row of a model.
+BACKOFF = 30.0
 
 
 def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -87,17 +89,20 @@ class Ratio:
 
 
 def log_transitions(counts: dict[int, int]) -> np.ndarray:
-    n = np.full(STATES * STATES, 0.2)
+    """Pair counts as log transition probabilities. What was rarely seen follows the single
+    characters' shares, so a small sample does not punish pairs that it lacks."""
+    n = np.zeros(STATES * STATES)
     for pair, c in counts.items():
-        n[pair] += c
+        n[pair] = c
     n = n.reshape(STATES, STATES)
-    return np.log(n / n.sum(1, keepdims=True)).ravel()
+    single = (n.sum(0) + 0.5) / (n.sum() + 0.5 * STATES)
+    return np.log((n + BACKOFF * single) / (n.sum(1, keepdims=True) + BACKOFF)).ravel()
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_random: int = MAX_RANDOM,
           max_ordinary: int = MAX_ORDINARY) -> Ratio:
     """Counts both models on a bounded sample of documents; only pair counts (at most STATES squared)
-    and one quantile reach the driver. Without labelled random strings nothing is ever added."""
+    and two medians reach the driver. Without labelled random strings nothing is ever added."""
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
 
     def first(n):
@@ -113,7 +118,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
         F.length("w") >= LEAST_RUN)
     ordinary = first(max_ordinary)
     words = ordinary.select(F.lit(0).alias("y"), F.explode(
-        F.array_distinct(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)))).alias("w"))
+        F.array_distinct(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)))).alias("w")).where(
+        F.length("w") < LEAST_RUN)  # a longer run may be a secret that no pattern knows
     pairs = random.unionByName(words).select("y", F.explode(bigrams(F.col("w"))).alias("pair")).groupBy(
         "y", "pair").count()
     counts = {0: {}, 1: {}}
@@ -121,9 +127,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_r
         counts[r["y"]][r["pair"]] = r["count"]
     ratio = Ratio(log_transitions(counts[1]) - log_transitions(counts[0]), float("inf"))
     if counts[1]:
-        plain = ordinary.select(F.explode(F.regexp_extract_all(rest, F.lit(RUN), F.lit(0))).alias("w"))
-        top = plain.select(F.percentile_approx(ratio.of(F.col("w")), QUANTILE, 10_000)).head()[0]
-        ratio.threshold = max(LEAST_RATIO, top or 0.0)
+        mean = ratio.of(F.col("w"))
+        middle = random.unionByName(words).groupBy("y").agg(F.percentile_approx(mean, 0.5).alias("m"))
+        middles = {r["y"]: r["m"] for r in middle.collect()}
+        ratio.threshold = max(LEAST_RATIO, (middles[1] + middles.get(0, -middles[1])) / 2)
     return ratio
 
 
