@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.where("a != b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    seen = _digest(now)
     while True:
         # Large star: what is larger than a node moves to the smallest node around it.
         both = now.union(now.select("v", "u"))
@@ -28,12 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
         small = (large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(least).distinct())
         after = stored(small, "edges")
-        if _same(now, after):
+        before, seen = seen, _digest(after)
+        if before == seen:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 after.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         now = after
 
 
-def _same(x: DataFrame, y: DataFrame) -> bool:
-    digest = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    return x.agg(*digest).head() == y.agg(*digest).head()
+def _digest(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()

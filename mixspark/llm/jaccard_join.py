@@ -31,6 +31,11 @@ COLUMN_BYTES = 12 << 20
 #: The order of columns knows which are in at least this many sets, for at most so many columns. It
 #: decides only which rare columns are tried first, never which pairs are found.
 COMMON, COMMON_MAX = 6, 1 << 20
+MARKS = 1 << 23
+#: Up to this size a group of entries is searched for useless ones where it is gathered.
+GROUP = 64
+#: Star rounds before the pairs that remain are tried one by one; their number only saves work.
+STARS = 1
 NO_ID = -(2 ** 63)  # stands for a null id inside
 K = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64(0xFFFFFFFF)
@@ -44,9 +49,9 @@ def shingles(ids: np.ndarray, width: int = WIDTH) -> np.ndarray:
         for k in range(n):
             h = mixed(h * K + ids[k:k + 1])
         return h
-    h = ids[:n - width + 1]
+    h = ids[:n - width + 1]  # word hashes are uniform, so a polynomial of them is
     for k in range(1, width):
-        h = mixed(h * K + ids[k:n - width + 1 + k])
+        h = h * K + ids[k:n - width + 1 + k]
     return np.unique(mixed(h))
 
 
@@ -67,17 +72,6 @@ def sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
             yield i, s, hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else b""
 
 
-def describe(width: int):
-    """Per document: its id, set size, the digest of its set, and the digest's first 8 bytes."""
-    def run(batches):
-        sets = ((i, len(s), d, key_of(d)) for i, s, d in sets_of(batches, width))
-        while rows := list(islice(sets, 4096)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))],
-                ["id", "n", "digest", "s"])
-    return run
-
-
 def columns_of(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """The block of columns a shingle is in and its 32-bit number there."""
     return ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), h & LOW
@@ -135,7 +129,19 @@ def index_rows(blocks: int, width: int, percent: int, common):
     common order, which has rare columns first."""
     def run(batches):
         keys, counts = common.value
-        held, seen, size = [], set(), 0
+        marked = np.zeros(MARKS, bool)
+        marked[keys & (MARKS - 1)] = True
+        held, seen, size, nodes = [], set(), 0, []
+
+        def described():
+            """The documents themselves: id, set size, digest; under a negative block."""
+            i, n, d = zip(*nodes)
+            nodes.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([-1 - key_of(max(d)) % 256], pa.int64()), pa.array([packed(np.array(i, np.int64))], pa.binary()),
+                 pa.array([packed(np.array(n, np.int64))], pa.binary()),
+                 pa.array([packed(np.frombuffer(b"".join(x or bytes(16) for x in d), np.uint8))], pa.binary()),
+                 pa.array([b""], pa.binary())], ["block", "cols", "s", "size", "pos"])
 
         def batch():
             h, s, n, pos = (np.concatenate(x) for x in zip(*held))
@@ -151,18 +157,25 @@ def index_rows(blocks: int, width: int, percent: int, common):
                 [pa.array(k, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)],
                 ["block", "cols", "s", "size", "pos"])
 
-        for _, h, d in sets_of(batches, width):
+        for i, h, d in sets_of(batches, width):
+            nodes.append((i, len(h), d))
+            if len(nodes) == 4096:
+                yield described()
             if not d or d in seen:
                 continue
             seen.add(d)
             n, p = len(h), prefix(len(h), percent)
+            block, low = columns_of(h, blocks)
+            col = (block << np.uint64(32)).astype(np.int64) + low.astype(np.int64)
+            maybe = np.flatnonzero(marked[col & (MARKS - 1)])
             often = np.zeros(n, np.int64)
-            if len(keys):
-                block, low = columns_of(h, blocks)
-                col = (block << np.uint64(32)).astype(np.int64) + low.astype(np.int64)
-                at = np.minimum(np.searchsorted(keys, col), len(keys) - 1)
-                often = np.where(keys[at] == col, counts[at], 0)
-            first = np.lexsort((h, often))[:p]
+            if len(maybe):
+                at = np.minimum(np.searchsorted(keys, col[maybe]), len(keys) - 1)
+                often[maybe] = np.where(keys[at] == col[maybe], counts[at], 0)
+            first = np.flatnonzero(often == 0)[:p]  # ascending, as the hashes are
+            if len(first) < p:
+                rest = np.flatnonzero(often)
+                first = np.concatenate([first, rest[np.lexsort((h[rest], often[rest]))][:p - len(first)]])
             held.append((h[first], np.full(p, key_of(d), np.int64), np.full(p, n, np.uint32),
                          np.arange(p, dtype=np.uint32)))
             size += p
@@ -171,11 +184,50 @@ def index_rows(blocks: int, width: int, percent: int, common):
                 held, size = [], 0
         if held:
             yield batch()
+        if nodes:
+            yield described()
+    return run
+
+
+PRODUCT = "col long, s long, n long, pos long, id long, digest binary"
+
+
+def product_rows(**columns) -> pa.Table:
+    size = len(next(iter(columns.values())))
+    kinds = {f.name: f.type for f in pa.schema([(c, pa.int64()) for c in ("col", "s", "n", "pos", "id")] + [("digest", pa.binary())])}
+    return pa.table({c: pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()})
+
+
+def allowed(n, m, i, j, percent):
+    """Sets of n and m elements that first share a column at places i and j may still link."""
+    return np.minimum(n - i, m - j) >= (percent * (n + m) + 99 + percent) // (100 + percent)
+
+
+def shared_columns(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        if table["block"][0].as_py() < 0:  # documents, as they are
+            ids, n = (np.concatenate([unpacked(v.as_py(), np.int64) for v in table[c]]) for c in ("cols", "s"))
+            raw = b"".join(unpacked(v.as_py(), np.uint8).tobytes() for v in table["size"])
+            digests = [raw[k:k + 16] for k in range(0, len(raw), 16)]
+            return product_rows(id=ids, n=n, digest=[d if m else b"" for d, m in zip(digests, n)],
+                                s=[key_of(d) for d in digests])
+        col, s, n, pos = _shared(table)
+        # In a small group an entry that no other one may link with is of no use.
+        keep = np.zeros(len(col), bool)
+        _, at, c = np.unique(col, return_inverse=True, return_counts=True)
+        keep[c[at] > GROUP] = True
+        for k in range(1, min(GROUP, max(c, default=1))):
+            i = np.flatnonzero(col[k:] == col[:-k])
+            if not len(i):
+                break
+            i = i[allowed(n[i], n[i + k], pos[i], pos[i + k], percent)]
+            keep[i] = keep[i + k] = True
+        return product_rows(col=col[keep], s=s[keep], n=n[keep], pos=pos[keep])
     return run
 
 
-def shared_columns(table: pa.Table) -> pa.Table:
-    """Of one block: the prefix entries whose column at least two different sets share."""
+def _shared(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of one block: the prefix entries whose column at least two different sets share, by column."""
     x = np.concatenate([unpacked_sorted(v.as_py(), np.uint32) for v in table["cols"]])
     s = np.concatenate([unpacked(v.as_py(), np.int64) for v in table["s"]])
     n = np.concatenate([unpacked(v.as_py(), np.uint32) for v in table["size"]])
@@ -188,7 +240,7 @@ def shared_columns(table: pa.Table) -> pa.Table:
     _, at, c = np.unique(x, return_inverse=True, return_counts=True)
     keep = c[at] > 1
     col = (table["block"][0].as_py() << 32) + x[keep].astype(np.int64)
-    return pa.table({"col": col, "s": s[keep], "n": n[keep].astype(np.int64), "pos": pos[keep].astype(np.int64)})
+    return col, s[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64)
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,39 +305,48 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), body(F.col(text_col)).alias("body"))
     blocks = parts_for(total_bytes(docs, text_col), COLUMN_BYTES)
-    nodes = stored(texts.mapInArrow(describe(width), "id long, n long, digest binary, s long"), "sets")
 
     # The order of columns.
     common = (texts.mapInArrow(count_columns(blocks, width), "block long, cols binary, n binary")
               .groupBy("block").applyInArrow(common_columns, "col long, n long")
-              .orderBy(F.desc("n"), "col").limit(COMMON_MAX).toPandas().sort_values("col"))
-    order = spark.sparkContext.broadcast((common["col"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
+              .orderBy(F.desc("n"), "col").limit(COMMON_MAX).toArrow().sort_by("col"))
+    order = spark.sparkContext.broadcast((common["col"].to_numpy(), common["n"].to_numpy()))
 
-    # The product over prefix columns.
-    entries = stored(texts.mapInArrow(index_rows(blocks, width, percent, order),
+    # The product over prefix columns; the documents and the keys of their sets come along.
+    product = stored(texts.mapInArrow(index_rows(blocks, width, percent, order),
                                       "block long, cols binary, s binary, size binary, pos binary")
-                     .groupBy("block").applyInArrow(shared_columns, "col long, s long, n long, pos long"),
-                     "entries")
+                     .groupBy("block").applyInArrow(shared_columns(percent), PRODUCT), "product")
+    entries = product.where("col is not null").select("col", "s", "n", "pos")
+    nodes = product.where("col is null").select("id", "n", "digest", "s")
     sets = stored(_sets(texts, nodes, entries, width), "rows")
 
-    # First every set against one set of each column: most groups of near copies hang together then.
-    hub = entries.groupBy("col").agg(F.min(F.struct("s", "n", "pos")).alias("hub"))
-    star = (entries.alias("e").join(hub, "col").where("e.s != hub.s").where(within_bounds("e", "hub", percent))
-            .select(F.col("hub.s").alias("x"), F.col("e.s").alias("y")).distinct())
-    links = stored(linked(star, sets, percent), "links")
-    found = components(links)
+    # Star rounds: in each column every set meets one set of another component, so large groups of
+    # near copies soon hang together without trying all their pairs.
+    keys = sets.select("s", "digest")
+    links = tried = found = None
+    for turn in range(STARS):
+        entry = _labelled(entries, keys, found)
+        rank = F.struct(*([F.col("pos").alias("first")] if not turn else []), F.xxhash64("s", F.lit(turn)), "s", "n", "pos", "root")
+        hub = entry.groupBy("col").agg(F.min(rank).alias("hub"))
+        star = (entry.alias("e").join(hub, "col").where("e.root != hub.root")
+                .where(within_bounds("e", "hub", percent))
+                .select(F.least("e.s", "hub.s").alias("x"), F.greatest("e.s", "hub.s").alias("y")).distinct())
+        star = stored(star if tried is None else star.join(tried, ["x", "y"], "left_anti"), "star")
+        tried = star if tried is None else tried.union(star)
+        new = stored(linked(star, sets, percent), "links")
+        links = new if links is None else links.union(new)
+        found = components(links)
+        if not new.take(1):
+            break
     # Then all pairs that share a column and are not in one component yet.
-    label = sets.select("s", "digest").join(found, F.col("digest") == F.col("node"), "left").select(
-        "s", F.coalesce("root", "digest").alias("root"))
-    entry = stored(entries.join(label, "s"), "labelled")
+    entry = stored(_labelled(entries, keys, found), "labelled")
     open_cols = entry.groupBy("col").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(
         "lo != hi").select("col")
     left = entry.join(open_cols, "col", "left_semi")
     rest = (left.alias("e").join(left.alias("f"), "col").where("e.root < f.root")
             .where(within_bounds("e", "f", percent))
             .select(F.least("e.s", "f.s").alias("x"), F.greatest("e.s", "f.s").alias("y")).distinct())
-    tried = rest.join(star, ["x", "y"], "left_anti")
-    more = stored(linked(tried, sets, percent), "links")
+    more = stored(linked(rest.join(tried, ["x", "y"], "left_anti"), sets, percent), "links")
     if more.take(1):
         found = components(links.union(more))
 
@@ -308,6 +369,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.join(gone, F.col(id_col) == F.col("_jj_id"), "left_anti")
 
 
+def _labelled(entries: DataFrame, keys: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The entries with the root of their set's component."""
+    if found is None:
+        roots = keys.withColumn("root", F.col("digest"))
+    else:
+        roots = keys.join(found, F.col("digest") == F.col("node"), "left").withColumn(
+            "root", F.coalesce("root", "digest"))
+    return entries.join(roots.select("s", "root"), "s")
+
+
 def _sets(texts: DataFrame, nodes: DataFrame, entries: DataFrame, width: int) -> DataFrame:
     """The whole rows of the sets that any pair may need, one for each digest."""
     needed = entries.select("s").distinct()
