@@ -14,12 +14,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixspark.llm import linear
-from mixspark.llm.common import REMEMBERED, body, fold, values, word_lists
+from mixspark.llm.common import REMEMBERED, WordHashes, body, fold, values, word_lists
+from mixspark.llm.jaccard_join import shingles
 
 #: Bound of the labelled sample, chosen by a hash of the id.
 MAX_LABELLED = 20_000
@@ -249,14 +251,24 @@ def form_counts(wanted):
     return run
 
 
+def smallest_shingle():
+    @F.pandas_udf("long")
+    def smallest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = WordHashes()
+        for texts in batches:
+            yield pd.Series([int(s[0]) - 2 ** 63 if len(s := shingles(hashes.of(t))) else 0 for t in texts])
+    return smallest
+
+
 def labelled_sample(docs, labels, label, id_col, text_col, bound):
     truth = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(
         F.max(label).cast("int").alias("y"))
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").where(fold(F.col("id")) != 0).join(
         truth, "id").distinct().orderBy(F.xxhash64("id"), "id").limit(bound)
     rows = docs.select(F.col(id_col).alias("id"), body(F.col(text_col)).alias("body")).join(F.broadcast(ids), "id")
-    # Copies would make every word of theirs look telling; each text counts once.
-    return rows.groupBy(F.xxhash64("body").alias("digest")).agg(
+    # Copies would make every word of theirs look telling: texts whose smallest shingle is the same,
+    # as it is for most near copies, count once.
+    return rows.groupBy(smallest_shingle()(F.col("body")).alias("digest")).agg(
         F.max("y").alias("y"), F.first("body").alias("body")).select("y", "body")
 
 
