@@ -28,7 +28,7 @@ from mixspark.llm.common import (body, fold, packed, packed_sorted, parts_for, t
                                  unpacked_sorted, values, word_lists)
 from mixspark.sources.scratch import stored
 
-DEPTH = 5
+DEPTH = 4
 #: Bytes of text in a block of documents, and about how many one answer sheet stands for.
 BLOCK_BYTES, SHEET_BYTES = 4 << 20, 12 << 20
 END = 255  # never occurs in UTF-8
@@ -288,7 +288,8 @@ def block_grams(table: pa.Table, depth: int):
         coded = np.ones(len(place), bool)
         for s in starts[1:]:
             coded[s - depth:s] = False
-        place = place[coded]
+        used, place = ranks(place[coded], len(name))  # what stands in heads depends on the texts' order
+        name = name[used]
         names.append(name)
         parts.append((ids, learn, texts, size, place))
     gram = np.unique(np.concatenate(names))
