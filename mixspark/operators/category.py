@@ -17,7 +17,8 @@ INLINE_VALUES = 32
 
 def fit_categories(df: DataFrame, cols, limit: int = BROADCAST_VALUES) -> dict[str, list] | None:
     """Sorted values per column, or None when there are more than ``limit`` in all or they are too
-    long to broadcast. One pass for all columns; at most ``limit + 1`` values reach the driver."""
+    long to broadcast. One pass for all columns; the sizes are known before any value reaches the
+    driver."""
     cells = F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols
     ])
@@ -25,9 +26,14 @@ def fit_categories(df: DataFrame, cols, limit: int = BROADCAST_VALUES) -> dict[s
         df.select(F.explode(cells).alias("cell")).select("cell.*")
         .where("value IS NOT NULL").distinct()
     )
-    rows = values.limit(limit + 1).collect()
-    if len(rows) > limit or sum(len(r["value"]) for r in rows) > BROADCAST_CHARS:
-        return None
+    values = values.persist()
+    try:
+        size = values.agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars")).first()
+        if size["n"] > limit or (size["chars"] or 0) > BROADCAST_CHARS:
+            return None
+        rows = values.collect()
+    finally:
+        values.unpersist()
     found: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         found[r["col"]].append(r["value"])

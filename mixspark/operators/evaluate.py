@@ -68,7 +68,7 @@ def auroc(scored: DataFrame, by=(), score: str = "score", pos: str = "positive",
     parts = parts.withColumn("off", F.coalesce(F.sum("q").over(below), F.lit(0)))
     pos_n, neg_n = F.sum("p"), F.sum("q")
     both = (pos_n > 0) & (neg_n > 0)
-    area = F.sum(F.col("area") + F.col("p") * F.col("off"))
+    area = F.sum(F.col("area") + F.col("p").cast("double") * F.col("off"))
     out = parts.groupBy(*by) if by else parts.groupBy()
     return out.agg(
         F.when(both, area / (pos_n.cast("double") * neg_n)).alias("auroc"),

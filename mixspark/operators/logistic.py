@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mixspark.functions.expr import constants, dot, horner, total
 from mixspark.functions.rand import first_hit, uniform, uniform_int, uniform_value
 from mixspark.operators.encode import masked_all
-from mixspark.operators.sample import draw_steps, minibatch_fraction, steps_to_draw
+from mixspark.operators.sample import draw_steps, few_tasks, minibatch_fraction, steps_to_draw
 
 # Fixed values of the stopping rule.
 QUIET_GRADIENT = 1e-5
@@ -24,8 +24,6 @@ LOG_STEPS = 5
 # Numerics handled as generated code; wider rows go through numpy in Arrow batches.
 UNROLL_NUMS = 64
 UNROLL_SLOTS = 128
-# A training pool up to this many numbers is run in one task per training set.
-POOL_CELLS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -336,6 +334,12 @@ def draw_pool(encoded: DataFrame, n_slots: int, steps: int, fraction: float, see
                        F.when(bit, 1).otherwise(-1).cast("int").alias("z"))
 
 
+def pool_fits(drawn: int, fraction: float) -> bool:
+    """Whether all minibatches together are at most 32 times the table; else each step draws from the
+    rows themselves, with the same outcome."""
+    return drawn * fraction <= 32
+
+
 POOL_SCHEMA = "combo int, grp int, w array<double>, it array<int>, lr array<double>, " \
     "grad_l1 array<double>, n array<int>, converged boolean"
 
@@ -375,6 +379,67 @@ def trained_from_row(r) -> Trained:
                    r["converged"])
 
 
+def train_stepwise(pool: DataFrame, w0: dict[int, np.ndarray], d: int, params: list[LogisticParams],
+                   max_steps: int, drawn: int, scale: dict | None = None) -> dict[tuple[int, int], Trained]:
+    """Fit every parameter set on every training set with one distributed aggregate per step: each task
+    sums the gradients of its rows for all fits and hands over one packed array per training set.
+    The driver holds the weights only. Gives what ``train_pooled`` gives, by (combination, set)."""
+    w = {g: np.repeat(np.asarray(v, dtype=float)[None, :], len(params), axis=0) for g, v in w0.items()}
+    size = len(next(iter(w0.values())))
+    lam = np.array([p.lam for p in params])
+    stop, done = {g: Stopper(len(params)) for g in w0}, dict.fromkeys(w0, 0)
+    logs = {(c, g): [] for c in range(len(params)) for g in w0}
+    # Inside a partition the rows are in the order of the steps, so a step reads few cached batches.
+    held = pool.repartition(few_tasks(pool.sparkSession)).sortWithinPartitions("it").persist()
+    try:
+        for i in range(1, drawn + 1):
+            live = [g for g in w0 if done[g] < max_steps and stop[g].active().any()]
+            if not live:
+                break
+            step = held.where((F.col("it") == i) & F.col("grp").isin(live))
+            for g, (n, grad) in _step_sums(step, {g: w[g] for g in live}, d, size, lam, scale).items():
+                grad = grad / n
+                l1 = np.abs(grad).sum(axis=1)
+                done[g] += 1
+                for m in np.flatnonzero(stop[g].active()):
+                    lr = learning_rate(params[m], done[g])
+                    logs[m, g].append((done[g], lr, float(l1[m]), n))
+                    w[g][m] = update(w[g][m], grad[m], lr, params[m].reg)
+                stop[g].note(l1)
+        short = [g for g in w0 if done[g] < max_steps and stop[g].active().any()]
+        if short:
+            raise RuntimeError(f"only {[done[g] for g in short]} of {max_steps} drawn steps had rows")
+    finally:
+        held.unpersist()
+    return {(c, g): Trained(w[g][c], logs[c, g], not stop[g].active()[c]) for c, g in logs}
+
+
+def _step_sums(rows: DataFrame, w: dict[int, np.ndarray], d: int, size: int, lam: np.ndarray,
+               scale: dict | None) -> dict[int, tuple[int, np.ndarray]]:
+    """Rows and gradient sums of each training set's minibatch, for all its parameter sets."""
+    def part(batches):
+        total: dict[int, list] = {}
+        for pdf in batches:
+            for g, mine in pdf.groupby("grp"):
+                x = np.stack(mine["nums"].to_numpy()).astype(float).reshape(len(mine), d)
+                if scale is not None:
+                    x = (x - scale[g][0]) / scale[g][1]
+                slot, z = mine["slot"].to_numpy(), mine["z"].to_numpy(dtype=float)
+                pull = pull_batch(x, slot, z, w[g], d, lam)
+                sums = total.setdefault(int(g), [0, np.zeros((len(lam), size))])
+                sums[0] += len(mine)
+                sums[1] += gradient_sums(x, slot, pull, d, size)
+        yield pd.DataFrame({"grp": list(total), "n": [t[0] for t in total.values()],
+                            "sums": [t[1].tobytes() for t in total.values()]})
+
+    out: dict[int, tuple[int, np.ndarray]] = {}
+    parts = rows.select("grp", "nums", "slot", "z").mapInPandas(part, "grp int, n bigint, sums binary").collect()
+    for r in sorted(parts, key=lambda r: (r["grp"], r["n"], bytes(r["sums"]))):
+        n, sums = out.get(r["grp"], (0, 0.0))
+        out[r["grp"]] = n + r["n"], sums + np.frombuffer(r["sums"]).reshape(len(lam), size)
+    return out
+
+
 def train_by_steps(step_rows, w0, d: int, params: LogisticParams, max_steps: int,
                    slots_drawn: int) -> Trained:
     """One aggregate job per step. ``step_rows(i)`` gives the masked rows of drawn step i, so a
@@ -391,6 +456,8 @@ def train_by_steps(step_rows, w0, d: int, params: LogisticParams, max_steps: int
         log.append((done, lr, l1, n))
         w = update(w, grad, lr, params.reg)
         stop.note(np.array([l1]))
+    if done < max_steps and stop.active()[0]:
+        raise RuntimeError(f"only {done} of {max_steps} drawn steps had rows")
     return Trained(w, log, not stop.active()[0])
 
 
@@ -399,10 +466,10 @@ def train(encoded: DataFrame, n: int, d: int, n_slots: int, params: LogisticPara
           slots: str = "random", init: str = "uniform", pool: DataFrame | None = None) -> Trained:
     """Fit the weights: ``max_iterations - 1`` steps.
 
-    ``solver="pooled"`` runs all steps in one task over the bounded pool of minibatches,
-    ``"aggregate"`` runs one distributed job per step, and ``"auto"`` pools while the pool is
-    small. Both draw the same rows and slots. ``slots="all"`` uses every slot of each row instead
-    of one random slot (aggregate only).
+    ``solver="aggregate"`` (also "auto") runs one distributed job per step; ``"pooled"`` runs all steps
+    in one task over the bounded pool of minibatches, which is quicker for small ones. Both draw the
+    same rows and slots, whatever the sizes. ``slots="all"`` uses every slot of each row instead of
+    one random slot (aggregate only).
     """
     steps = max_iterations - 1
     f = minibatch_fraction(n, minibatch)
@@ -410,12 +477,7 @@ def train(encoded: DataFrame, n: int, d: int, n_slots: int, params: LogisticPara
     w0 = init_weights(d + n_slots, seed, init)
     if steps < 1 or n_slots == 0:
         return Trained(w0)
-    small = drawn * min(n, minibatch) * (d + 4) <= POOL_CELLS
-    if solver == "auto":
-        solver = "pooled" if small and slots == "random" else "aggregate"
     if solver == "pooled":
-        if not small:
-            raise ValueError("the pool is too large for one task; use solver='aggregate'")
         if slots != "random":
             raise ValueError("the pooled solver draws one slot per row")
         pool = draw_pool(encoded, n_slots, drawn, f, seed) if pool is None else pool
@@ -428,13 +490,11 @@ def train(encoded: DataFrame, n: int, d: int, n_slots: int, params: LogisticPara
             picked = base if f >= 1 else base.where(
                 uniform(F.col("key"), "mb", seed, 0, i, "all") < f)
             return masked_all(picked, n_slots)
-    elif drawn * min(n, minibatch) <= n:
-        base = (draw_pool(encoded, n_slots, drawn, f, seed) if pool is None else pool).persist()
-
-        def rows_of(i):
-            return base.where(F.col("it") == i)
+    elif pool_fits(drawn, f):
+        pool = draw_pool(encoded, n_slots, drawn, f, seed) if pool is None else pool
+        return train_stepwise(pool, {0: w0}, d, [params], steps, drawn)[0, 0]
     else:
-        # Minibatches that add up to more than the table: draw from the rows step by step.
+        # Minibatches that add up to many times the table: draw from the rows step by step.
         base = encoded.select("key", "nums", "slots").persist()
 
         def rows_of(i):

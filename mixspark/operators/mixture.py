@@ -25,8 +25,6 @@ EPS = float(np.finfo(float).eps)
 # to be compiled to machine code); beyond that, numpy over Arrow batches.
 DENSITY_TERMS = 320
 EM_TERMS = 12
-# A fit sample up to this many numbers is fitted in one task.
-SAMPLE_CELLS = 4_000_000
 
 
 @dataclass

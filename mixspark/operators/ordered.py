@@ -13,12 +13,14 @@ from mixspark.sources.scratch import stored
 
 INF = float("inf")
 HOT_SHARE = 1.0 / 1024
+BUCKET_ROWS = 2_000_000
 
 
-def bucket_count(df: DataFrame) -> int:
-    """Buckets for ordered work: a few per shuffle partition, so it scales with the cluster."""
+def bucket_count(df: DataFrame, rows: int = 0) -> int:
+    """Buckets for ordered work: a few per shuffle partition, so it scales with the cluster, and
+    enough that one holds about BUCKET_ROWS rows where their number is known."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4096, 4 * n))
+    return max(8, 4 * n, -(-rows // BUCKET_ROWS))
 
 
 def number_edges(df: DataFrame, col: str, buckets: int, *extra) -> tuple[list[float], list]:
@@ -48,10 +50,7 @@ def number_bucket(df: DataFrame, col: str, edges, out: str = "bucket") -> DataFr
 def value_edges(values: DataFrame, col: str, n_values: int, buckets: int) -> list:
     """Cut points for any sortable type, from a keyed sample of distinct values."""
     rate = min(1.0, 16.0 * buckets / max(n_values, 1))
-    rows = (
-        values.where(uniform(F.col(col), "edge") < rate).select(col).orderBy(col)
-        .limit(64 * buckets).collect()
-    )
+    rows = values.where(uniform(F.col(col), "edge") < rate).select(col).orderBy(col).collect()
     step = max(1, len(rows) // buckets)
     return [r[0] for r in rows[step::step]]
 
@@ -59,7 +58,7 @@ def value_edges(values: DataFrame, col: str, n_values: int, buckets: int) -> lis
 def ranked_values(values: DataFrame, col: str, rank: str) -> DataFrame:
     """Rank from 0 of each row by a column of distinct values, by buckets."""
     n = values.count()
-    buckets = bucket_count(values)
+    buckets = bucket_count(values, n)
     edges = value_edges(values, col, n, buckets)
     if edges:
         cuts = F.array(*[F.lit(e) for e in edges])
@@ -111,7 +110,7 @@ ACCURACY = 2000
 
 def kth_lowest(df: DataFrame, col: str, rank, small: int = 100_000) -> tuple:
     """Exact k-th lowest value of a numeric column as (value, k, rows); ``rank`` is k or a function
-    of the row count.
+    of the row count. Values that are null or not a number have no rank: they are an error.
 
     Each pass is one aggregate with partial aggregation: quantile sketches cut the bracket that holds
     the rank by a factor of a few hundred, until its distinct values fit on the driver. The table
@@ -130,8 +129,11 @@ def kth_lowest(df: DataFrame, col: str, rank, small: int = 100_000) -> tuple:
             (F.count_if(c < lo) if lo is not None else F.lit(0)).alias("below"),
             F.count_if(inside).alias("n"),
             F.percentile_approx(F.when(inside, c), F.lit(probs), ACCURACY).alias("q"),
+            F.count_if(c.isNull() | F.isnan(c.cast("double"))).alias("bad"),
         ).first()
         if n is None:
+            if row["bad"]:
+                raise ValueError(f"{row['bad']} values of {col} are missing or not a number")
             n = row["n"]
             k = rank(n) if callable(rank) else rank
             if not 1 <= k <= n:
@@ -158,9 +160,11 @@ def kth_lowest(df: DataFrame, col: str, rank, small: int = 100_000) -> tuple:
             last = r
         if r["side"] == 1 and seen >= k:
             return r["v"], k, n
-        if r["side"] == 0 and seen >= k:
+        if r["side"] == 0 and seen >= k and lo != -INF:
             lo = -INF  # a sketch outside its error bound
-        elif r["side"] == 2:
+        elif r["side"] == 2 and hi != INF:
             hi = INF
+        elif r["side"] != 1 or last is None or last["v"] == lo:
+            raise RuntimeError(f"no value of {col} has rank {k}")
         else:
             lo = last["v"]  # more distinct values than fit: go on from the last one

@@ -53,7 +53,7 @@ class Profile:
     def loose(self) -> Profile:
         """The looser width rule: a column with values above 1 gets one slot more."""
         loose = tuple(m + 1 if m > 1 else 1 for m in self.cat_max)
-        return Profile(self.n, loose, self.num_min, self.num_max)
+        return replace(self, cat_max=loose)
 
 
 def dimensions(view: DataFrame) -> tuple[int, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -33,11 +34,12 @@ def minibatch_sample(df: DataFrame, n: int, minibatch: int, *salt) -> tuple[Data
     """A non-empty minibatch: draws again with the next salt while none is selected. Returns the
     rows and the attempt they came from."""
     f = minibatch_fraction(n, minibatch)
-    for attempt in range(10_000):
+    for attempt in itertools.count():
         rows = bernoulli(df, f, *salt, attempt)
         if f >= 1.0 or rows.limit(1).count() > 0:
             return rows, attempt
-    raise ValueError("no minibatch could be drawn")
+        if not df.limit(1).count():
+            raise ValueError("no rows to draw from")
 
 
 def mixture_target(k: int, ratio: float) -> float:
@@ -67,8 +69,14 @@ def may_draw(steps: int, fraction: float, *salt, groups: Column | None = None) -
 
 
 def few_tasks(spark) -> int:
-    """Partitions for a bounded set of drawn rows."""
-    return min(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Partitions for a set of drawn rows: as many as the session shuffles to."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def mixture_draw(rate, *salt, group: Column | None = None) -> Column:
+    """Whether the mixture's sample of a training set takes a row. A row has one draw per set, so the
+    sample depends on its own rate alone, and larger rates hold smaller ones."""
+    return uniform(F.col("key"), "mix", *salt, F.lit(0) if group is None else group) < rate
 
 
 def draw_steps(df: DataFrame, steps: int, fraction: float, *salt,

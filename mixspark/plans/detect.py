@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from mixspark.functions.expr import kept_apart
 from mixspark.operators import score as sc
 from mixspark.plans.model import MixedModel, fit
 
@@ -13,7 +15,8 @@ def flag_rows(model: MixedModel, view: DataFrame, ratio: float = 0.03,
               handle_unseen: str = "zero") -> DataFrame:
     """Score and flag. The threshold is the ``ratio`` rank of the scores, exactly or by sketch,
     unless a fixed one is given."""
-    scored = model.transform(view, handle_unseen)
+    # Kept apart, a filter on the flag does not repeat the columns the score is built from.
+    scored = model.transform(view, handle_unseen).withColumn("score", kept_apart(F.col("score")))
     if threshold is None:
         if method == "exact":
             threshold, _, _ = sc.threshold_exact(scored, ratio)
@@ -25,7 +28,9 @@ def flag_rows(model: MixedModel, view: DataFrame, ratio: float = 0.03,
 
 
 def detect(view: DataFrame, ratio: float = 0.03, threshold: float | None = None,
-           method: str = "exact", inclusive: bool = True, **fit_options) -> DataFrame:
-    """Fit on all rows and return the flagged ones."""
-    model = fit(view, anomaly_ratio=ratio, **fit_options)
-    return flag_rows(model, view, ratio, threshold, method, inclusive).where("is_anomaly")
+           method: str = "exact", inclusive: bool = True, handle_unseen: str = "zero",
+           **fit_options) -> DataFrame:
+    """Fit on all rows and return the flagged ones. A null category sets no slot; with
+    ``handle_unseen="error"`` it stops the fit."""
+    model = fit(view, anomaly_ratio=ratio, handle_unseen=handle_unseen, **fit_options)
+    return flag_rows(model, view, ratio, threshold, method, inclusive, handle_unseen).where("is_anomaly")

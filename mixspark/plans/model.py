@@ -9,13 +9,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixspark.functions.expr import kept_apart
 from mixspark.operators import logistic as lg
 from mixspark.operators import mixture as mx
 from mixspark.operators.encode import encode
 from mixspark.operators.profile import Profile, profile
 from mixspark.operators.sample import (
-    draw_steps, few_tasks, may_draw, minibatch_fraction, mixture_fraction, mixture_target, steps_to_draw,
+    few_tasks, may_draw, minibatch_fraction, mixture_draw, mixture_fraction, steps_to_draw,
 )
 
 
@@ -39,7 +38,7 @@ class MixedModel:
             scored = scored.withColumn("score_num", F.lit(0.0))
         else:
             scored = mx.add_log_density(scored, self.mixture, self.weighted, self.floor)
-        return scored.withColumn("score", kept_apart(F.col("score_cat") + F.col("score_num")))
+        return scored.withColumn("score", F.col("score_cat") + F.col("score_num"))
 
     def transform(self, view: DataFrame, handle_unseen: str = "zero") -> DataFrame:
         """Score a mixed view, batch or streaming; its own columns stay as they were."""
@@ -55,9 +54,15 @@ def fit(view: DataFrame, params: lg.LogisticParams | None = None, k: int = 4,
         anomaly_ratio: float = 0.03, max_iterations: int = 100, minibatch: int = 100, seed: int = 0,
         solver: str = "auto", init_cov: str = "std", floor: float = 1e-9, weighted: bool = False,
         train_on: str = "all", prof: Profile | None = None,
-        encoding: str = "onehot") -> MixedModel:
+        encoding: str = "onehot", handle_unseen: str = "error", slots: str = "random",
+        init: str = "uniform", loose: bool = False) -> MixedModel:
     """Fit on a mixed view. Two passes over the data: one for the profile, one that draws the
-    minibatches and the mixture's sample together; all later work is on those bounded draws."""
+    minibatches and the mixture's sample together; all later work is on those bounded draws.
+
+    ``handle_unseen="zero"`` lets null categories, and those outside a given profile, set no slot.
+    ``loose`` takes the looser slot widths. The mixture is fitted on its sample, whose size follows
+    from ``k`` and ``anomaly_ratio`` and not from the table; ``solver="aggregate"`` fits it by
+    distributed iterations too, "auto" and "pooled" in one task."""
     if train_on not in ("all", "normal"):
         raise ValueError("train_on must be 'all' or 'normal'")
     params = params or lg.LogisticParams()
@@ -67,28 +72,30 @@ def fit(view: DataFrame, params: lg.LogisticParams | None = None, k: int = 4,
         n = prof.n
     else:
         n = rows.count()
-    encoded = encode(rows.select("key", "cats", "nums"), prof).select("key", "nums", "slots")
-    d, slots = prof.d, prof.slots
+    if loose:
+        prof = prof.loose()
+    encoded = encode(rows.select("key", "cats", "nums"), prof, handle_unseen=handle_unseen).select("key", "nums", "slots")
+    d, width = prof.d, prof.slots
     steps = max_iterations - 1
     f = minibatch_fraction(n, minibatch)
     drawn = steps_to_draw(steps, n, f)
     mix_f = mixture_fraction(n, k, anomaly_ratio)
-    pooled = solver == "pooled" or (
-        solver == "auto" and drawn * min(n, minibatch) * (d + 4) <= lg.POOL_CELLS)
-    wanted = may_draw(1, mix_f, "mix", seed)
+    in_mixture = mixture_draw(F.lit(mix_f), seed)
+    pooled = slots == "random" and lg.pool_fits(drawn, f)  # else a step may need any row
+    wanted = in_mixture
     if pooled:
         wanted = wanted | may_draw(drawn, f, "mb", seed)
     # A few thousand rows from all over the table: even them out over a few tasks.
     taken = encoded.where(wanted).repartition(few_tasks(view.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         trained = lg.train(
-            taken if pooled else encoded, n, d, slots, params, max_iterations, minibatch, seed,
-            "pooled" if pooled else "aggregate")
-        sample = draw_steps(taken, 1, mix_f, "mix", seed)
+            taken if pooled else encoded, n, d, width, params, max_iterations, minibatch, seed,
+            solver, slots, init)
+        sample = taken.where(in_mixture)
         if d == 0:
             mixture = None
-        elif mixture_target(k, anomaly_ratio) * d <= mx.SAMPLE_CELLS:
-            rows = sample.select("grp", F.lit(k).alias("k"), "nums")
+        elif solver != "aggregate":
+            rows = sample.select(F.lit(0).alias("grp"), F.lit(k).alias("k"), "nums")
             row = mx.fit_grouped(rows, seed, init_cov, floor).first()
             mixture = mx.mixture_from_row(row, d)
         else:

@@ -19,14 +19,13 @@ from mixspark.operators.ordered import bucket_count, number_edges
 from mixspark.operators.profile import Profile, dimensions, profile, profiles_without
 from mixspark.functions.rand import uniform
 from mixspark.operators.sample import (
-    draw_steps, few_tasks, may_draw, minibatch_fraction, mixture_fraction, mixture_target, steps_to_draw,
+    few_tasks, may_draw, minibatch_fraction, mixture_draw, mixture_fraction, steps_to_draw,
 )
 from mixspark.plans.model import MixedModel, fit
+from mixspark.sources.libsvm import scored_rows
 
 # Fixed value: searches size the mixture sample for this share of anomalies.
 SEARCH_RATIO = 0.01
-# Weights of the models scored together; larger grids are scored in several passes.
-MODEL_CELLS = 20_000_000
 EDGE_ROWS = 50_000
 
 
@@ -54,6 +53,8 @@ class SearchReport:
         }
         if self.test is not None:
             parts["test"] = self.test
+        if self.scored is not None:
+            parts["scored"] = scored_rows(self.scored)
         for name, df in parts.items():
             df.write.mode(mode).parquet(f"{path}/{name}")
 
@@ -103,10 +104,11 @@ def score_grid(rows: DataFrame, profs: dict[int, Profile], models: list[dict],
 
 def fit_grid(rows: DataFrame, profs: dict[int, Profile], sizes: dict[int, int],
              points: list[dict], max_iterations: int, minibatch: int, seed: int, init_cov: str,
-             floor: float) -> list[dict]:
-    """Fit every combination on every training set. One pass keeps the rows that any fit draws, one
-    job fits all slot weights and one all mixtures: a mixture depends only on (k, training set) and
-    the weights only on the rest."""
+             floor: float, solver: str = "auto") -> list[dict]:
+    """Fit every combination on every training set. One pass keeps the rows that any fit draws; each
+    step is one job for all slot weights, and one job fits all mixtures. A mixture depends only on
+    (k, training set) and the weights only on the rest, never on other combinations.
+    ``solver="pooled"`` runs all steps of a training set in one task, with the same outcome."""
     some = next(iter(profs.values()))
     d, slots = some.d, some.slots
     steps = max_iterations - 1
@@ -115,55 +117,41 @@ def fit_grid(rows: DataFrame, profs: dict[int, Profile], sizes: dict[int, int],
     drawn = max(steps_to_draw(steps, n, rates[g]) for g, n in sizes.items())
     ks = sorted({p["k"] for p in points})
     mix_rate = {(g, k): mixture_fraction(n, k, SEARCH_RATIO) for g, n in sizes.items() for k in ks}
-    mix_f = max(mix_rate.values())
     params = [lg.LogisticParams(p["reg"], p["lr_start"], p["lr_speed"], p["lam"]) for p in points]
     w0 = {g: lg.init_weights(d + slots, f"{seed}|{g}") for g in profs}
     scale = {g: (np.array(p.num_min), np.array(p.spans)) for g, p in profs.items()}
 
     train_in = F.col("train_in")
-    small_pool = drawn * max(min(n, minibatch) for n in sizes.values()) * (d + 4) <= lg.POOL_CELLS
-    small_mix = mixture_target(max(ks), SEARCH_RATIO) * max(d, 1) <= mx.SAMPLE_CELLS
-    wanted = may_draw(1, mix_f, "mix", seed, groups=train_in)
-    if small_pool:
-        wanted = wanted | may_draw(drawn, f, "mb", seed, groups=train_in)
+    most = {g: max(mix_rate[g, k] for k in ks) for g in sizes}
+    wanted = may_draw(drawn, f, "mb", seed, groups=train_in)
+    for g, rate in most.items():
+        wanted = wanted | (F.array_contains(train_in, g) & mixture_draw(F.lit(rate), seed, group=F.lit(g)))
     base = rows.select("key", "nums", "slots", "train_in")
     taken = base.where(wanted).repartition(few_tasks(rows.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         weights: dict[tuple, lg.Trained] = {}
         if slots == 0 or steps < 1:
             weights = {(c, g): lg.Trained(w0[g]) for c in range(len(points)) for g in profs}
-        elif small_pool:
-            pool = lg.draw_pool(taken, slots, drawn, f, seed, train_in, rates)
-            for r in lg.train_pooled(pool, w0, d, params, steps, scale=scale).collect():
-                weights[(r["combo"], r["grp"])] = lg.trained_from_row(r)
         else:
-            for g, p in profs.items():
-                mine = base.where(F.array_contains("train_in", g)).withColumn(
-                    "nums", scaled(F.col("nums"), p))
-                for c, q in enumerate(params):
-                    weights[(c, g)] = lg.train(mine, sizes[g], d, slots, q, max_iterations,
-                                               minibatch, f"{seed}|{g}", "aggregate")
-        sample = draw_steps(taken, 1, mix_f, "mix", seed, groups=train_in)
-        # Samples of different k are nested: a row keeps one draw per training set.
+            pool = lg.draw_pool(taken, slots, drawn, f, seed, train_in, rates)
+            if solver == "pooled":
+                for r in lg.train_pooled(pool, w0, d, params, steps, scale=scale).collect():
+                    weights[(r["combo"], r["grp"])] = lg.trained_from_row(r)
+            else:
+                weights = lg.train_stepwise(pool, w0, d, params, steps, drawn, scale)
+        # A row's draw for a training set decides for every k, each by its own rate.
         pairs = F.array(*[
-            F.struct(F.lit(g).alias("g"), F.lit(k).alias("k"), F.lit(r / mix_f).alias("rate"))
+            F.struct(F.lit(g).alias("g"), F.lit(k).alias("k"), F.lit(r).alias("rate"))
             for (g, k), r in mix_rate.items()
         ])
-        keep = uniform(F.col("key"), "mixk", seed, F.col("grp"))
         sample = (
-            sample.select("key", "grp", "nums", F.explode(pairs).alias("p"))
-            .where((F.col("p.g") == F.col("grp")) & (keep < F.col("p.rate")))
+            taken.select("key", "nums", F.explode("train_in").alias("grp"))
+            .select("key", "grp", "nums", F.explode(pairs).alias("p"))
+            .where((F.col("p.g") == F.col("grp")) & mixture_draw(F.col("p.rate"), seed, group=F.col("grp")))
             .select("grp", F.col("p.k").alias("k"), "nums")
         )
-        mixtures = {}
-        if small_mix:
-            for r in mx.fit_grouped(sample, seed, init_cov, floor, scale).collect():
-                mixtures[(r["grp"], r["k"])] = mx.mixture_from_row(r, d)
-        else:
-            for g, k in mix_rate:
-                mine = sample.where((F.col("grp") == g) & (F.col("k") == k)).withColumn(
-                    "nums", scaled(F.col("nums"), profs[g]))
-                mixtures[(g, k)] = mx.fit_mixture(mine, k, seed, init_cov, floor)[0]
+        mixtures = {(r["grp"], r["k"]): mx.mixture_from_row(r, d)
+                    for r in mx.fit_grouped(sample, seed, init_cov, floor, scale).collect()}
     finally:
         taken.unpersist()
     return [
@@ -176,30 +164,25 @@ def fit_grid(rows: DataFrame, profs: dict[int, Profile], sizes: dict[int, int],
 def run_grid(rows: DataFrame, profs: dict[int, Profile], sizes: dict[int, int],
              points: list[dict], n_rows: int, max_iterations: int = 100, minibatch: int = 100,
              seed: int = 0, init_cov: str = "std", floor: float = 1e-9,
-             weighted: bool = False) -> DataFrame:
+             weighted: bool = False, solver: str = "auto") -> DataFrame:
     """Fit, score and measure the whole grid: one row per (combination, fold)."""
     spark = rows.sparkSession
-    some = next(iter(profs.values()))
-    block = max(1, MODEL_CELLS // max(1, len(profs) * (some.d + some.slots)))
+    models = fit_grid(rows, profs, sizes, points, max_iterations, minibatch, seed, init_cov, floor, solver)
+    few = rows.where(uniform(F.col("key"), "edge") < F.lit(min(1.0, EDGE_ROWS / max(n_rows, 1))))
+    edges, _ = number_edges(score_grid(few, profs, models, weighted, floor), "score", bucket_count(rows))
+    scored = score_grid(rows, profs, models, weighted, floor)
+    found = {(r["combo"], r["grp"]): r
+             for r in ev.auroc(scored, ("combo", "grp"), edges=edges).collect()}
+    point = {p["combo"]: p for p in points}
     out = []
-    for a in range(0, len(points), block):
-        part = points[a:a + block]
-        models = fit_grid(rows, profs, sizes, part, max_iterations, minibatch, seed, init_cov, floor)
-        few = rows.where(uniform(F.col("key"), "edge") < F.lit(min(1.0, EDGE_ROWS / max(n_rows, 1))))
-        edges, _ = number_edges(score_grid(few, profs, models, weighted, floor), "score",
-                                bucket_count(rows))
-        scored = score_grid(rows, profs, models, weighted, floor)
-        found = {(r["combo"], r["grp"]): r
-                 for r in ev.auroc(scored, ("combo", "grp"), edges=edges).collect()}
-        for m in models:
-            r, t = found.get((m["combo"], m["grp"])), m["trained"]
-            p = next(q for q in part if q["combo"] == m["combo"])
-            out.append((
-                m["combo"], m["grp"], int(p["k"]), float(p["reg"]), float(p["lr_start"]),
-                float(p["lr_speed"]), float(p["lam"]),
-                r["auroc"] if r else None, r["n_pos"] if r else 0, r["n_neg"] if r else 0,
-                r["warning"] if r else "no rows", lg.convergence_log(t), bool(t.converged),
-            ))
+    for m in models:
+        r, t, p = found.get((m["combo"], m["grp"])), m["trained"], point[m["combo"]]
+        out.append((
+            m["combo"], m["grp"], int(p["k"]), float(p["reg"]), float(p["lr_start"]),
+            float(p["lr_speed"]), float(p["lam"]),
+            r["auroc"] if r else None, r["n_pos"] if r else 0, r["n_neg"] if r else 0,
+            r["warning"] if r else "no rows", lg.convergence_log(t), bool(t.converged),
+        ))
     return spark.createDataFrame(
         out, "combo int, fold int, k int, reg double, lr_start double, lr_speed double, "
         "lam double, auroc double, n_pos bigint, n_neg bigint, warning string, "
@@ -225,7 +208,8 @@ def _choose(results: DataFrame) -> tuple[DataFrame, dict]:
 
 def cross_validate(view: DataFrame, folds: int = 10, seed: int = 0, profile_scope: str = "train",
                    max_iterations: int = 100, minibatch: int = 100, init_cov: str = "std",
-                   floor: float = 1e-9, weighted: bool = False, **grid) -> SearchReport:
+                   floor: float = 1e-9, weighted: bool = False, solver: str = "auto",
+                   handle_unseen: str = "zero", **grid) -> SearchReport:
     """Mean AUROC over folds for every combination; fits see normal rows outside the fold.
     ``profile_scope="each"`` scales by the limits of the whole table instead of the training rows'."""
     if profile_scope not in ("train", "each"):
@@ -243,12 +227,12 @@ def cross_validate(view: DataFrame, folds: int = 10, seed: int = 0, profile_scop
         profs = {f: profile(view, dims) for f in range(folds)}
     sizes = {f: sum(r["normal"] for g, r in counts.items() if g != f) for f in range(folds)}
     others = F.array_remove(F.sequence(F.lit(0), F.lit(folds - 1)), F.col("fold"))
-    rows = _prepare(folded, profs[0]).select(
+    rows = _prepare(folded, profs[0], handle_unseen).select(
         "key", "nums", "slots", "label",
         F.when(F.col("label") == 0, others).otherwise(F.array().cast("array<int>")).alias("train_in"),
         F.col("fold").alias("test_in"))
     results = run_grid(rows, profs, sizes, points, n_rows, max_iterations, minibatch, seed, init_cov,
-                       floor, weighted)
+                       floor, weighted, solver)
     means, best = _choose(results)
     seconds = time.time() - started
     return SearchReport(results, means, best, ev.fold_sizes(folded), seconds,
@@ -257,7 +241,7 @@ def cross_validate(view: DataFrame, folds: int = 10, seed: int = 0, profile_scop
 
 def tune(view: DataFrame, seed: int = 0, profile_scope: str = "train", max_iterations: int = 100,
          minibatch: int = 100, init_cov: str = "std", floor: float = 1e-9, weighted: bool = False,
-         **grid) -> SearchReport:
+         solver: str = "auto", handle_unseen: str = "zero", **grid) -> SearchReport:
     """Choose on dev rows, refit the choice on all train rows, measure on test rows. ``view`` has a
     ``split`` column of train, dev and test. ``profile_scope="each"`` scales every split by its own
     limits."""
@@ -280,19 +264,19 @@ def tune(view: DataFrame, seed: int = 0, profile_scope: str = "train", max_itera
         one = 1.0 - 1e-13
         prof = Profile(prof.n, prof.cat_max, (0.0,) * prof.d, (one,) * prof.d)
     is_train = (F.col("split") == "train") & (F.col("label") == 0)
-    rows = _prepare(view, prof).where("split <> 'test'").select(
+    rows = _prepare(view, prof, handle_unseen).where("split <> 'test'").select(
         "key", "nums", "slots", "label",
         F.when(is_train, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
         .alias("train_in"),
         F.when(F.col("split") == "dev", F.lit(0)).alias("test_in"))
     results = run_grid(rows, {0: prof}, {0: counts["train"]["normal"]}, points,
                        sum(r["n"] for r in counts.values()), max_iterations, minibatch, seed,
-                       init_cov, floor, weighted)
+                       init_cov, floor, weighted, solver)
     means, best = _choose(results)
     model = fit(
         train, lg.LogisticParams(best["reg"], best["lr_start"], best["lr_speed"], best["lam"]),
-        best["k"], SEARCH_RATIO, max_iterations, minibatch, seed, init_cov=init_cov, floor=floor,
-        weighted=weighted, prof=prof)
+        best["k"], SEARCH_RATIO, max_iterations, minibatch, seed, solver, init_cov=init_cov, floor=floor,
+        weighted=weighted, prof=prof, handle_unseen=handle_unseen)
     scored = model.transform(view.where("split = 'test'"))
     test = ev.auroc(scored.withColumn("positive", ev.positive(F.col("label"))))
     sizes = view.groupBy("split").agg(F.count("*").alias("n"))

@@ -134,11 +134,15 @@ def unscaled_view(spark, d):
 
 def loose_widths(spark, d):
     view = mv_orders(spark, d)
-    c = F.struct(F.col("pos"), F.col("hi").cast("int").alias("m"))
-    rows = pf.profile_rows(view, (2, 2)).where("kind = 'cat'").select(c.alias("c")).select("c.*")
-    loose = F.when(F.col("m") > 1, F.col("m") + 1).otherwise(1)
-    return rows.select("pos", (F.col("m") + 1).alias("width"), loose.alias("stored"),
-                       (loose + 1).alias("loose_width"))
+    p = pf.profile(view)
+    loose = p.loose()
+    columns = pf.profile_rows(view, (2, 2)).where("kind = 'cat'")
+    at = F.col("pos").cast("int")
+
+    def of(values):
+        return F.get(F.array(*[F.lit(int(v)) for v in values]), at)
+    return columns.select("pos", (of(p.cat_max) + 1).alias("width"), of(loose.cat_max).alias("stored"),
+                          (of(loose.cat_max) + 1).alias("loose_width"))
 
 
 def discrete_combinations(spark, d):

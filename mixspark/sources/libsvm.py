@@ -15,17 +15,19 @@ def read_libsvm(spark: SparkSession, path, n_cats: int, num_features: int | None
     reader = spark.read.format("libsvm")
     if num_features is not None:
         reader = reader.option("numFeatures", int(num_features))
-    rows = reader.load(path).select(
-        F.monotonically_increasing_id().alias("id"),
-        "label",
-        vector_to_array("features").alias("features"),
-    )
-    return vector_view(rows, n_cats, "id")
+    rows = reader.load(path).select("label", vector_to_array("features").alias("features"))
+    # Keys follow from the contents, so that keyed draws do not depend on how the files are split;
+    # equal rows are counted and then numbered.
+    rows = rows.groupBy("label", "features").agg(F.count("*").alias("n")).select(
+        "label", "features", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    rows = rows.withColumn("id", F.concat_ws("-", F.xxhash64("label", "features"), "i"))
+    return vector_view(rows.select("id", "label", "features"), n_cats, "id")
 
 
 def sibling_path(path: str, split: str) -> str:
-    """Path of the dev or test set that belongs to a train set."""
-    return path.replace("train", split)
+    """Path of the dev or test set that belongs to a train set: its last part with another word."""
+    folder, slash, name = path.rstrip("/").rpartition("/")
+    return folder + slash + name.replace("train", split)
 
 
 def read_splits(spark: SparkSession, train: str, n_cats: int, num_features: int,

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the session names in spark.checkpoint.dir. Only a session
-    without that setting (a local test) gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mixspark-")
+    """A new path in the shared folder the session names in spark.checkpoint.dir. Only a local
+    session without that setting gets a temporary folder, which goes with the process; on a cluster the
+    setting is needed."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(1)
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="mixspark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written once and read back: later uses read the files instead of computing it again,
     also after executors are lost."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixspark.operators import evaluate as ev, logistic as lg, mixture as mx, profile as pf
+from mixspark.operators import evaluate as ev, mixture as mx, profile as pf
 from mixspark.plans import evalset as pe, search
 from mixspark.plans.model import MixedModel
 from mixspark.sources import libsvm
@@ -47,14 +47,25 @@ def test_grid_scores_equal_single_model_scores(spark, labelled):
         assert got[m["combo"]] == pytest.approx(one.agg(F.sum("score")).first()[0], rel=1e-9)
 
 
-def test_aggregate_path_of_the_grid(spark, labelled, monkeypatch):
-    rows = labelled.where("split <> 'test'")
-    fast = search.tune(labelled, max_iterations=5, minibatch=50, k=[1], reg=[1.0], lr_speed=[0.1])
-    monkeypatch.setattr(lg, "POOL_CELLS", 0)
-    monkeypatch.setattr(mx, "SAMPLE_CELLS", 0)
-    slow = search.tune(labelled, max_iterations=5, minibatch=50, k=[1], reg=[1.0], lr_speed=[0.1])
-    assert fast.best["auroc"] == pytest.approx(slow.best["auroc"], abs=0.05)
-    assert rows.count() == 700
+def test_a_fit_depends_neither_on_solver_nor_on_neighbours(spark, labelled):
+    v = labelled.where("split = 'train'")
+    p = pf.profile(v)
+    rows = search._prepare(v, p).withColumn("train_in", F.when(F.col("label") == 0, F.array(F.lit(0), F.lit(1))).otherwise(
+        F.array().cast("array<int>")))
+    n = v.where("label = 0").count()
+    profs, sizes = {0: p, 1: p}, {0: n, 1: n}
+
+    def run(solver="auto", **grid):
+        found = search.fit_grid(rows, profs, sizes, ev.grid_points(**grid), 6, 50, 3, "std", 1e-9, solver)
+        return {(m["k"], m["grp"], ev.grid_points(**grid)[m["combo"]]["reg"]): m for m in found}
+
+    alone = run(k=[2], reg=[1.0], lr_speed=[0.1])
+    pooled = run("pooled", k=[2], reg=[1.0], lr_speed=[0.1])
+    among = run(k=[1, 2, 4], reg=[0.1, 1.0], lr_speed=[0.1])
+    for key, m in alone.items():
+        for other in (pooled[key], among[key]):
+            assert np.abs(other["w"] - m["w"]).max() < 1e-12
+            assert np.allclose(other["mixture"].mu, m["mixture"].mu, rtol=1e-9, atol=1e-9)
 
 
 @pytest.mark.parametrize("scope", ["train", "each"])
