@@ -18,6 +18,8 @@ from mixspark.operators.sample import draw_steps, few_tasks, minibatch_fraction,
 # Fixed values of the stopping rule.
 QUIET_GRADIENT = 1e-5
 QUIET_STEPS = 10
+# Rows of a training pool that make a task worth starting.
+TASK_ROWS = 20_000
 # Columns of the convergence summary.
 LOG_STEPS = 5
 
@@ -380,17 +382,20 @@ def trained_from_row(r) -> Trained:
 
 
 def train_stepwise(pool: DataFrame, w0: dict[int, np.ndarray], d: int, params: list[LogisticParams],
-                   max_steps: int, drawn: int, scale: dict | None = None) -> dict[tuple[int, int], Trained]:
+                   max_steps: int, drawn: int, rows: float,
+                   scale: dict | None = None) -> dict[tuple[int, int], Trained]:
     """Fit every parameter set on every training set with one distributed aggregate per step: each task
     sums the gradients of its rows for all fits and hands over one packed array per training set.
-    The driver holds the weights only. Gives what ``train_pooled`` gives, by (combination, set)."""
+    The driver holds the weights only. Gives what ``train_pooled`` gives, by (combination, set). The
+    pool, of about ``rows`` rows, is spread over as many tasks as have enough of them to do."""
     w = {g: np.repeat(np.asarray(v, dtype=float)[None, :], len(params), axis=0) for g, v in w0.items()}
     size = len(next(iter(w0.values())))
     lam = np.array([p.lam for p in params])
     stop, done = {g: Stopper(len(params)) for g in w0}, dict.fromkeys(w0, 0)
     logs = {(c, g): [] for c in range(len(params)) for g in w0}
     # Inside a partition the rows are in the order of the steps, so a step reads few cached batches.
-    held = pool.repartition(few_tasks(pool.sparkSession)).sortWithinPartitions("it").persist()
+    tasks = min(few_tasks(pool.sparkSession), math.ceil(rows / TASK_ROWS))
+    held = pool.repartition(max(1, tasks)).sortWithinPartitions("it").persist()
     try:
         for i in range(1, drawn + 1):
             live = [g for g in w0 if done[g] < max_steps and stop[g].active().any()]
@@ -492,7 +497,7 @@ def train(encoded: DataFrame, n: int, d: int, n_slots: int, params: LogisticPara
             return masked_all(picked, n_slots)
     elif pool_fits(drawn, f):
         pool = draw_pool(encoded, n_slots, drawn, f, seed) if pool is None else pool
-        return train_stepwise(pool, {0: w0}, d, [params], steps, drawn)[0, 0]
+        return train_stepwise(pool, {0: w0}, d, [params], steps, drawn, drawn * f * n)[0, 0]
     else:
         # Minibatches that add up to many times the table: draw from the rows step by step.
         base = encoded.select("key", "nums", "slots").persist()

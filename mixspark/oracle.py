@@ -388,6 +388,9 @@ ORACLE["threshold_exact"] = f"""{EVENT_SCORES}, {KTH}
 select n, k, {r6('t')} as threshold, (select count(*) from sc where score <= t) as flagged
 from th, kt"""
 
+ORACLE["threshold_rank"] = f"""{EVENT_SCORES}
+select count(*) as n, greatest(1, cast(floor(count(*) * {q.RATIO}) as bigint)) as k, true as within from sc"""
+
 ORACLE["score_minmax"] = f"""{EVENT_SCORES}
 select {r6('min(score)')} as min_score, {r6('max(score)')} as max_score from sc"""
 

@@ -138,7 +138,8 @@ def fit_grid(rows: DataFrame, profs: dict[int, Profile], sizes: dict[int, int],
                 for r in lg.train_pooled(pool, w0, d, params, steps, scale=scale).collect():
                     weights[(r["combo"], r["grp"])] = lg.trained_from_row(r)
             else:
-                weights = lg.train_stepwise(pool, w0, d, params, steps, drawn, scale)
+                n_pool = drawn * sum(rates[g] * n for g, n in sizes.items())
+                weights = lg.train_stepwise(pool, w0, d, params, steps, drawn, n_pool, scale)
         # A row's draw for a training set decides for every k, each by its own rate.
         pairs = F.array(*[
             F.struct(F.lit(g).alias("g"), F.lit(k).alias("k"), F.lit(r).alias("rate"))

@@ -43,6 +43,7 @@ BIT_RULES = [[1, 1, 0, 0, 0], [0, 1, 1, 0, 1], [1, 0, 0, 1, 1]]
 NUM_RULES = [[1, 0, 1, 0, 0, 1, 0, 0], [0, 1, 0, 1, 1, 0, 0, 1]]
 WEIGHT_SEEDS = [11, 12, 13, 14]
 FOLDS = 5
+EMBEDDING = 64  # width of the embeddings table
 
 
 def rounded(c):
@@ -90,7 +91,7 @@ def mv_docs(spark, d):
 
 def mv_embed(spark, d):
     t = table(spark, d, "embeddings")
-    return mixed_view(t, "vec_id", ["label"], [F.col("embedding")[j] for j in range(8)])
+    return mixed_view(t, "vec_id", ["label"], [F.col("embedding")[j] for j in range(EMBEDDING)])
 
 
 def order_keys(spark, d):
@@ -377,6 +378,16 @@ def threshold_approx(spark, d):
                       F.lit(t).alias("threshold"))
 
 
+def threshold_rank(spark, d):
+    """The approximate threshold's rank lies within its promised error of the exact one."""
+    scored = _event_scores(spark, d)
+    t = sc.threshold_approx(scored, RATIO)
+    n, k = F.count("*"), F.greatest(F.lit(1), F.floor(F.count("*") * RATIO))
+    at_most, below = F.count_if(F.col("score") <= t), F.count_if(F.col("score") < t)
+    near = (below <= k + n / 10_000 + 1) & (at_most >= k - n / 10_000 - 1)
+    return scored.agg(n.alias("n"), k.alias("k"), near.alias("within"))
+
+
 def score_minmax(spark, d):
     return sc.score_limits(_event_scores(spark, d)).select(
         *[rounded(c).alias(c) for c in ("min_score", "max_score")])
@@ -474,15 +485,13 @@ def run_timing(spark, d):
 
 
 def cv_job(spark, d):
-    report = search.cross_validate(mv_docs(spark, d), folds=3, seed=SEED, k=[2], reg=[0.1, 1.0],
-                                   lr_speed=[0.1], max_iterations=40)
-    return report.results
+    """The default grid: 25 combinations, 10 folds, 100 iterations."""
+    return search.cross_validate(mv_docs(spark, d), seed=SEED).results
 
 
 def tune_job(spark, d):
     view = es.split_by_fraction(mv_docs(spark, d), 0.6, 0.2, SEED)
-    report = search.tune(view, SEED, k=[2], reg=[0.1, 1.0], lr_speed=[0.1], max_iterations=40)
-    return report.scored.select("key", "label", "score")
+    return search.tune(view, SEED).scored.select("key", "label", "score")
 
 
 def detect_job(spark, d):
@@ -658,7 +667,7 @@ QUERIES = {f.__name__: f for f in (
     init_weights, lr_schedule, gradient_step, gradient_full, weight_update, sgd_history, sgd_weights,
     kmeans_assign, cluster_deviation, initial_mixture, em_step, kmeans_fit, mixture_fit,
     score_categorical, score_gaussian, score_joint, score_lineitem, threshold_exact,
-    threshold_approx, score_minmax, flag_fixed, anomalies, auroc, auroc_ties, auroc_events,
+    threshold_approx, threshold_rank, score_minmax, flag_fixed, anomalies, auroc, auroc_ties, auroc_events,
     fold_assign, fold_sizes, cv_scores, cv_means, best_params, param_grid, run_timing, cv_job,
     tune_job, detect_job, libsvm_roundtrip, split_view, scored_export, group_rows, decaying_binary,
     rule_match, rule_coverage, rule_coverage_prefix, location_scale, independent_binary,
