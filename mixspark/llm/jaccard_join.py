@@ -28,8 +28,8 @@ PERCENT = 75
 #: Shingles a task gathers before it writes them out, and about how many a block of columns gets.
 GATHERED = 1 << 20
 COLUMN_BYTES = 12 << 20
-#: The order of columns knows which are in at least this many sets, for at most so many columns. It
-#: decides only which rare columns are tried first, never which pairs are found.
+#: The order of columns knows which are in at least this many sets, for at most so many columns (the
+#: most frequent ones). It decides only which rare columns are tried first, never which pairs are found.
 COMMON, COMMON_MAX = 6, 1 << 20
 MARKS = 1 << 23
 #: Up to this size a group of entries is searched for useless ones where it is gathered.
@@ -307,9 +307,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = parts_for(total_bytes(docs, text_col), COLUMN_BYTES)
 
     # The order of columns.
-    common = (texts.mapInArrow(count_columns(blocks, width), "block long, cols binary, n binary")
-              .groupBy("block").applyInArrow(common_columns, "col long, n long")
-              .orderBy(F.desc("n"), "col").limit(COMMON_MAX).toArrow().sort_by("col"))
+    counted = stored(texts.mapInArrow(count_columns(blocks, width), "block long, cols binary, n binary")
+                     .groupBy("block").applyInArrow(common_columns, "col long, n long"), "columns")
+    level = F.floor(F.log2("n") * 4).cast("int")  # some hundred levels at most
+    fits = counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    held = np.cumsum([r["count"] for r in fits])
+    lowest = min([r["level"] for r, n in zip(fits, held) if n <= COMMON_MAX], default=1 << 20)
+    common = counted.where(level >= lowest).toArrow().sort_by("col")
     order = spark.sparkContext.broadcast((common["col"].to_numpy(), common["n"].to_numpy()))
 
     # The product over prefix columns; the documents and the keys of their sets come along.
