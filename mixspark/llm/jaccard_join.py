@@ -14,6 +14,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ COLUMN_BYTES = 12 << 20
 #: most frequent ones). It decides only which rare columns are tried first, never which pairs are found.
 COMMON, COMMON_MAX = 6, 1 << 20
 MARKS = 1 << 23
+#: Documents a task gathers before it writes their records out, and groups it deals them to by a hash of
+#: the id. No two tasks share a group, so the groups grow in number with the input and not in size.
+NODES, NODE_GROUPS = 1 << 14, 16
 #: Up to this size a group of entries is searched for useless ones where it is gathered.
 GROUP = 64
 #: Star rounds before the pairs that remain are tried one by one; their number only saves work.
@@ -132,16 +136,20 @@ def index_rows(blocks: int, width: int, percent: int, common):
         marked = np.zeros(MARKS, bool)
         marked[keys & (MARKS - 1)] = True
         held, seen, size, nodes = [], set(), 0, []
+        task = TaskContext.get().partitionId()
 
         def described():
             """The documents themselves: id, set size, digest; under a negative block."""
-            i, n, d = zip(*nodes)
+            i, n = (np.fromiter((x[k] for x in nodes), np.int64, len(nodes)) for k in (0, 1))
+            d = np.frombuffer(b"".join(x[2] or bytes(16) for x in nodes), np.uint8).reshape(-1, 16)
             nodes.clear()
+            group = (mixed(i.view(np.uint64)) % np.uint64(NODE_GROUPS)).astype(np.int64)
+            rows = [(-1 - (task * NODE_GROUPS + g), packed(i[at]), packed(n[at]), packed(d[at]), b"")
+                    for g in range(NODE_GROUPS) if (at := group == g).any()]
+            k, *rest = zip(*rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array([-1 - key_of(max(d)) % 256], pa.int64()), pa.array([packed(np.array(i, np.int64))], pa.binary()),
-                 pa.array([packed(np.array(n, np.int64))], pa.binary()),
-                 pa.array([packed(np.frombuffer(b"".join(x or bytes(16) for x in d), np.uint8))], pa.binary()),
-                 pa.array([b""], pa.binary())], ["block", "cols", "s", "size", "pos"])
+                [pa.array(k, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)],
+                ["block", "cols", "s", "size", "pos"])
 
         def batch():
             h, s, n, pos = (np.concatenate(x) for x in zip(*held))
@@ -159,7 +167,7 @@ def index_rows(blocks: int, width: int, percent: int, common):
 
         for i, h, d in sets_of(batches, width):
             nodes.append((i, len(h), d))
-            if len(nodes) == 4096:
+            if len(nodes) == NODES:
                 yield described()
             if not d or d in seen:
                 continue

@@ -5,12 +5,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mixspark.llm import decontaminate as dc
 from mixspark.llm import exact_dedup as dd
 from mixspark.llm import jaccard_join as jj
+from mixspark.llm.common import unpacked
 from mixspark.llm.components import components
 
 
@@ -131,6 +133,19 @@ def test_large_group_links_through_one_column(spark):
     assert got == {c for _, c in brute_join(rows).values()}
 
 
+def test_documents_spread_over_groups(spark):
+    """The records of the documents do not meet in one group, also when texts or ids repeat."""
+    rows = [(i, "the same text in all of them" if i % 2 else f"text {i}") for i in range(6000)]
+    order = spark.sparkContext.broadcast((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    texts = frame(spark, rows, 4).select(F.col("doc_id").alias("id"), F.encode("text", "utf-8").alias("body"))
+    got = texts.mapInArrow(jj.index_rows(1, 5, 75, order), "block long, cols binary, s binary, size binary, pos binary")
+    groups = {}
+    for r in got.where("block < 0").collect():
+        groups.setdefault(r.block, []).extend(unpacked(bytes(r.cols), np.int64).tolist())
+    assert sorted(i for ids in groups.values() for i in ids) == list(range(6000))
+    assert max(map(len, groups.values())) < 6000 // 20
+
+
 def test_prefix_holds_what_a_partner_needs():
     for n in range(1, 200):
         assert jj.prefix(n) == n - -(-75 * n // 100) + 1
