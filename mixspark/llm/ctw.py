@@ -28,7 +28,7 @@ from mixspark.llm.common import (body, fold, packed, packed_sorted, parts_for, t
                                  unpacked_sorted, values, word_lists)
 from mixspark.sources.scratch import stored
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text in a block of documents, and about how many one answer sheet stands for.
 BLOCK_BYTES, SHEET_BYTES = 4 << 20, 12 << 20
 END = 255  # never occurs in UTF-8

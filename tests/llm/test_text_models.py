@@ -108,6 +108,15 @@ def test_scores_against_the_recursion(spark, depth):
             assert g.held_out == (crc(i) == 1)
 
 
+def test_scores_use_five_bytes_of_context_by_default(spark):
+    """A byte that only the fifth byte before it tells."""
+    docs = [(i, "".join(c + "----" + c for c in random.Random(i).choices("abcdefgh", k=20))) for i in range(25)]
+    tree = BruteTree([t for i, t in docs if crc(i) != 1], 5)
+    got = {g.doc_id: g.score for g in ctw.ctw_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        assert math.isclose(got[i], tree.log10(t), rel_tol=1e-4, abs_tol=1e-4)
+
+
 # ---- toxicity ------------------------------------------------------------------------------------
 
 def edits(a, b):
