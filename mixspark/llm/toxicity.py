@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixspark.llm import linear
-from mixspark.llm.common import REMEMBERED, WordHashes, body, fold, values, word_lists
-from mixspark.llm.jaccard_join import shingles
+from mixspark.llm.common import REMEMBERED, WordHashes, as_signed, body, fold, mixed, values, word_lists
+from mixspark.llm.jaccard_join import K, shingles
+from mixspark.sources.scratch import stored
 
 #: Bound of the labelled sample, chosen by a hash of the id.
 MAX_LABELLED = 20_000
@@ -251,13 +252,16 @@ def form_counts(wanted):
     return run
 
 
-def smallest_shingle():
-    @F.pandas_udf("long")
-    def smallest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def copy_marks():
+    """Two independent minima of the shingles' hashes; a text without words has none."""
+    @F.pandas_udf("array<long>")
+    def marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = WordHashes()
         for texts in batches:
-            yield pd.Series([int(s[0]) - 2 ** 63 if len(s := shingles(hashes.of(t))) else 0 for t in texts])
-    return smallest
+            sets = (shingles(hashes.of(t)) for t in texts)
+            yield pd.Series([as_signed(np.array([s[0], mixed(s + K).min()])) if len(s) else np.zeros(0, np.int64)
+                             for s in sets], dtype=object)
+    return marks
 
 
 def labelled_sample(docs, labels, label, id_col, text_col, bound):
@@ -266,10 +270,10 @@ def labelled_sample(docs, labels, label, id_col, text_col, bound):
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null").where(fold(F.col("id")) != 0).join(
         truth, "id").distinct().orderBy(F.xxhash64("id"), "id").limit(bound)
     rows = docs.select(F.col(id_col).alias("id"), body(F.col(text_col)).alias("body")).join(F.broadcast(ids), "id")
-    # Copies would make every word of theirs look telling: texts whose smallest shingle is the same,
-    # as it is for most near copies, count once.
-    return rows.groupBy(smallest_shingle()(F.col("body")).alias("digest")).agg(
-        F.max("y").alias("y"), F.first("body").alias("body")).select("y", "body")
+    # Copies would make every word of theirs look telling: texts of one label whose marks are the same,
+    # as they are for most near copies, count once. The text is that of the smallest id.
+    return rows.groupBy("y", copy_marks()(F.col("body")).alias("marks")).agg(
+        F.min(F.struct("id", "body")).alias("one")).select("y", "one.body")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
@@ -278,29 +282,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     contradicting labels the highest counts. Without toxic examples the lexicon is empty and the score
     is the smoothed share of toxic labels."""
     context = docs.sparkSession.sparkContext
-    sample = labelled_sample(docs, labels, label, id_col, text_col, max_labelled).persist()
-    try:
-        sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-        toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-        kind = "form string, stem boolean, n long"
-        least = max(3, toxic // 200)
-        marked = {(r["form"], r["stem"]): r["n"] for r in sample.where("y = 1").mapInArrow(form_counts(None), kind)
-                  .groupBy("form", "stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toLocalIterator()}
-        wanted = context.broadcast(frozenset(marked))
-        other = {(r["form"], r["stem"]): r["n"] for r in sample.where("y = 0").mapInArrow(form_counts(wanted), kind)
-                 .groupBy("form", "stem").agg(F.sum("n").alias("n")).toLocalIterator()}
-        terms = select_terms({t: (n, other.get(t, 0)) for t, n in marked.items()}, toxic, clean)
-        lexicon = context.broadcast(Lexicon(terms))
-
-        def vectors(batches):
-            hits = Hits(lexicon.value)
-            for b in batches:
-                f = [features(t, hits).tolist() for t in values(b["body"])]
-                yield pa.RecordBatch.from_arrays([b["y"], pa.array(f, pa.list_(pa.float64()))], ["y", "f"])
-
-        got = sample.mapInArrow(vectors, "y int, f array<double>").toPandas()
-    finally:
-        sample.unpersist()
+    sample = stored(labelled_sample(docs, labels, label, id_col, text_col, max_labelled), "labelled")
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    kind = "form string, stem boolean, n long"
+    least = max(3, toxic // 200)
+    marked = {(r["form"], r["stem"]): r["n"] for r in sample.where("y = 1").mapInArrow(form_counts(None), kind)
+              .groupBy("form", "stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toLocalIterator()}
+    wanted = context.broadcast(frozenset(marked))
+    other = {(r["form"], r["stem"]): r["n"] for r in sample.where("y = 0").mapInArrow(form_counts(wanted), kind)
+             .groupBy("form", "stem").agg(F.sum("n").alias("n")).toLocalIterator()}
+    terms = select_terms({t: (n, other.get(t, 0)) for t, n in marked.items()}, toxic, clean)
+    lexicon = context.broadcast(Lexicon(terms))
+
+    def vectors(batches):
+        hits = Hits(lexicon.value)
+        for b in batches:
+            f = [features(t, hits).tolist() for t in values(b["body"])]
+            yield pa.RecordBatch.from_arrays([b["y"], pa.array(f, pa.list_(pa.float64()))], ["y", "f"])
+
+    got = sample.mapInArrow(vectors, "y int, f array<double>").toPandas()
     x = np.array(got["f"].tolist()).reshape(-1, FEATURES)
     return ToxicModel(lexicon.value, linear.fit(x, got["y"].to_numpy(np.float64)))
 

@@ -129,6 +129,18 @@ def edits(a, b):
     return row
 
 
+def test_labels_stay_with_their_texts(spark):
+    """Near copies of one label count once; texts of another label, or that share only a passage, stay."""
+    ids = [i for i in range(400) if crc(i) != 0][:24]
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [f"{passage} own{i} words{i} here{i}" for i in ids[:22]] + ["copy of one text here"] * 2
+    docs = spark.createDataFrame([*zip(ids, texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n in (0, 22))) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    got = sorted((r.y, bytes(r.body).decode()) for r in tx.labelled_sample(docs, labels, "toxic", "doc_id", "text", 100).collect())
+    assert [b for y, b in got if y == 1] == sorted([texts[0], texts[22]])
+    assert texts[23] in [b for y, b in got if y == 0]
+
+
 def test_automaton_against_edit_distance():
     terms = [tx.Term("idiot", False, 3), tx.Term("losers", False, 2), tx.Term("vequ", True, 4),
              tx.Term("lostra", True, 5), tx.Term("bad", False, 1)]
