@@ -4,6 +4,22 @@ from mixspark.llm.common import LOWER, UPPER
 
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
+def _field(c: str) -> str:
+    return f"case when {c} is null then '-' else strlen(cast({c} as varchar)) || ':' || cast({c} as varchar) end"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+# crc32 of the id's digits, bit by bit.
+CRC = """xor(4294967295, list_reduce(
+            list_prepend(4294967295::bigint, list_transform(
+                string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)),
+            lambda a, b: list_reduce(
+                list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+                lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 ORACLE = {
     "op4_decontaminate": rf"""
         with w as (
@@ -52,4 +68,59 @@ ORACLE = {
         g as (select body, max(doc_id) as keep_id, count(*) as group_size from t group by body)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(body) as text_sha256
         from t join g using (body)""",
+    "op11_merkle_manifest": f"""
+        with recursive d as (
+            select doc_id, source, {_leaf("text")} as leaf,
+                case when {CRC} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as tampered
+            from documents),
+        leaves as (
+            select *, row_number() over (partition by source order by doc_id, leaf) - 1 as pos,
+                count(*) over (partition by source) as n
+            from d),
+        tree as (
+            select source, 0 as lvl, pos, n, leaf as h from leaves
+            union all
+            select source, lvl + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' order by pos))
+            from tree where n > 1 group by source, lvl, pos // 3),
+        subroots as (
+            select source, h, lvl as height, row_number() over (order by source nulls first) - 1 as pos,
+                count(*) over () as n
+            from tree where n = 1),
+        top as (
+            select 0 as lvl, pos, n, h from subroots
+            union all
+            select lvl + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' order by pos))
+            from top where n > 1 group by lvl, pos // 3),
+        root as (select h as root from top where n = 1),
+        way as (
+            select doc_id, leaves.source, leaves.pos as leaf_pos, leaf, tampered, subroots.h as subroot, lvl,
+                cast(floor(leaves.pos / power(3, lvl)) as bigint) as p, lvl as step, false as up
+            from leaves join subroots on leaves.source is not distinct from subroots.source,
+                lateral (select unnest(range(0, height)) as lvl)
+            union all
+            select doc_id, leaves.source, leaves.pos, leaf, tampered, subroots.h, lvl,
+                cast(floor(subroots.pos / power(3, lvl)) as bigint), height + lvl, true
+            from leaves join subroots on leaves.source is not distinct from subroots.source,
+                lateral (select unnest(range(0, (select max(lvl) from top))) as lvl)),
+        steps as (
+            select w.*,
+                coalesce((select string_agg(t.h, '' order by t.pos) from tree t where not up and t.lvl = w.lvl
+                    and t.source is not distinct from w.source and t.pos // 3 = w.p // 3 and t.pos < w.p), '') ||
+                coalesce((select string_agg(t.h, '' order by t.pos) from top t where up and t.lvl = w.lvl
+                    and t.pos // 3 = w.p // 3 and t.pos < w.p), '') as before,
+                coalesce((select string_agg(t.h, '' order by t.pos) from tree t where not up and t.lvl = w.lvl
+                    and t.source is not distinct from w.source and t.pos // 3 = w.p // 3 and t.pos > w.p), '') ||
+                coalesce((select string_agg(t.h, '' order by t.pos) from top t where up and t.lvl = w.lvl
+                    and t.pos // 3 = w.p // 3 and t.pos > w.p), '') as behind
+            from way w),
+        done as (
+            select doc_id, source, leaf_pos, leaf, subroot,
+                sha256(string_agg(before || behind, '' order by step)) as proof_sha256,
+                list_reduce(
+                    list_prepend(any_value(tampered),
+                        list(before || '|' || behind order by step)),
+                    lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) as folded_root
+            from steps group by all)
+        select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified
+        from done, root""",
 }

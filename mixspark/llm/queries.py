@@ -11,6 +11,7 @@ from mixspark.llm import decontaminate as dc
 from mixspark.llm import exact_dedup as dd
 from mixspark.llm import jaccard_join as jj
 from mixspark.llm import language as lg
+from mixspark.llm import merkle as mk
 from mixspark.llm import packing as pk
 from mixspark.llm import quality as ql
 from mixspark.llm import secrets as se
@@ -75,7 +76,24 @@ def op10_quality(spark, d):
                          (F.col("_quality.score") >= ql.KEEP_AT).alias("kept"))
 
 
+def op11_merkle_manifest(spark, d):
+    """Rows of an even crc32 of the id (a null id is the empty text) are tampered with: the line feeds of
+    their text are deleted."""
+    docs = table(spark, d, "documents")
+    head = [mk.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = mk.digest(*head, mk.field(F.col("text")))
+    bare = mk.digest(*head, mk.field(F.replace("text", F.lit("\n"), F.lit(""))))
+    changed = (fold(F.col("doc_id"), 2) == 0) & F.contains("text", F.lit("\n"))
+    found = mk.build_manifest(
+        docs, leaf, F.col("source"), F.col("doc_id"),
+        {"doc_id": F.col("doc_id"), "tampered": F.when(changed, bare)}).proofs()
+    found = found.withColumn("folded_root", mk.folded(F.coalesce("tampered", "digest"), F.col("steps")))
+    return found.select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", "root", mk.proof_digest(F.col("steps")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ctw_scores, op2_best_fit_pack, op3_toxicity, op4_decontaminate, op5_jaccard_join, op6_token_counts,
-    op7_exact_dedup, op8_secret_scan, op9_language_id, op10_quality)}
+    op7_exact_dedup, op8_secret_scan, op9_language_id, op10_quality, op11_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
