@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from mixspark.llm import jaccard_join as jj
 from mixspark.llm import language as lg
 from mixspark.llm import merkle as mk
 from mixspark.llm import packing as pk
+from mixspark.llm import periodic_runs as pr
 from mixspark.llm import quality as ql
 from mixspark.llm import secrets as se
 from mixspark.llm import token_counts as tc
@@ -93,7 +97,37 @@ def op11_merkle_manifest(spark, d):
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def repeated_places(doc_id, n: int):
+    """Where the words of a text come from: of every tenth text, by the crc32 of its id (null: empty), the
+    words from some place on repeat a stretch of their beginning."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % p
+    return places
+
+
+def op12_periodic_runs(spark, d):
+    found = pr.find_runs(table(spark, d, "documents"), rewrite=repeated_places)
+    line = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    # The longest run, of these the first by start and period, which is the order of the array.
+    first = F.aggregate(
+        "runs", F.lit(None).cast(pr.RUNS[6:-1]),
+        lambda best, r: F.when(best.isNull() | (r["length"] > best["length"]), r).otherwise(best))
+    return found.withColumn("first", first).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "first.start", "first.length", "first.period",
+        F.expr("1000 * first.length div first.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ctw_scores, op2_best_fit_pack, op3_toxicity, op4_decontaminate, op5_jaccard_join, op6_token_counts,
-    op7_exact_dedup, op8_secret_scan, op9_language_id, op10_quality, op11_merkle_manifest)}
+    op7_exact_dedup, op8_secret_scan, op9_language_id, op10_quality, op11_merkle_manifest,
+    op12_periodic_runs)}
 QUERIES["pipeline"] = corpus_pipeline.run
