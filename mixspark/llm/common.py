@@ -108,3 +108,17 @@ def values(column: pa.Array) -> Iterator:
 
 def as_signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
+
+
+#: A key with more than this share of the rows goes by broadcast; there are fewer such keys than its inverse.
+HOT_SHARE = 1.0 / 1024
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, times: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row per key and, as ``times``, at most the rows of that key
+    in ``rows``. The frequent keys, at most 1023, go by broadcast, the rest by shuffle, so no task gets all
+    rows of a frequent key. ``table`` is read several times: a written one."""
+    limit = F.lit(HOT_SHARE * (table.agg(F.sum(times)).first()[0] or 0))
+    hot = F.broadcast(table.where(F.col(times) > limit))
+    cold = table.where(F.col(times) <= limit)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))

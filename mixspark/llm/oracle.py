@@ -123,4 +123,15 @@ ORACLE = {
             from steps group by all)
         select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified
         from done, root""",
+    "op13_warc": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        r as (select *, sha1(body) as hex, max(page_id) over (partition by body) as first from p)
+        select page_id, strlen(body) as payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i: substr(
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((cast('0x' || substr(hex, cast(i // 4 * 5 + 1 as bigint), 5) as bigint) >> (15 - i % 4 * 5)::bigint) & 31)::bigint,
+                1)), '') as payload_digest,
+            case when page_id = first then 'response' else 'revisit' end as record_type,
+            case when page_id <> first then first end as refers_to
+        from r""",
 }

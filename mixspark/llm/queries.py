@@ -21,6 +21,7 @@ from mixspark.llm import quality as ql
 from mixspark.llm import secrets as se
 from mixspark.llm import token_counts as tc
 from mixspark.llm import toxicity as tx
+from mixspark.llm import warc as wc
 from mixspark.llm.common import fold
 
 
@@ -126,8 +127,17 @@ def op12_periodic_runs(spark, d):
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_warc(spark, d):
+    pages = table(spark, d, "pages")
+    found = wc.read_archives(wc.write_archives(pages), payloads=False)
+    like = pages.schema["page_id"].dataType
+    return found.select(
+        wc.page_of(F.col("row"), like).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        wc.page_of(F.col("refers"), like).alias("refers_to"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ctw_scores, op2_best_fit_pack, op3_toxicity, op4_decontaminate, op5_jaccard_join, op6_token_counts,
     op7_exact_dedup, op8_secret_scan, op9_language_id, op10_quality, op11_merkle_manifest,
-    op12_periodic_runs)}
+    op12_periodic_runs, op13_warc)}
 QUERIES["pipeline"] = corpus_pipeline.run
