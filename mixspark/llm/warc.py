@@ -221,7 +221,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         data, file = archive(held), f"{uuid.uuid4().hex}.warc.zst"
         system, path = shared_file(folder, file)
         system.create_dir(path.rpartition("/")[0], recursive=True)
-        with system.open_output_stream(path) as out:
+        with system.open_output_stream(path, compression=None) as out:
             out.write(data)
         return pa.RecordBatch.from_arrays(
             [pa.array([f"{folder}/{file}"]), pa.array([len(held)]), pa.array([len(data)])],
@@ -244,7 +244,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 folder, _, name = file.rpartition("/")
                 system, path = shared_file(folder, name)
                 rows, size = [], 0
-                with system.open_input_stream(path) as source:
+                with system.open_input_stream(path, compression=None) as source:
                     for data in records_of(source):
                         fields, content = parsed(data)
                         if fields["WARC-Type"] == "warcinfo":
