@@ -13,12 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixspark.llm.common import parts_for
 from mixspark.sources.scratch import stored
 
 FAN = 3
 #: One level of these many is stored.
 LEVELS = 4
 CHUNK = FAN ** LEVELS
+#: Nodes below that one file of a stored level stands for.
+FILE_NODES = 1_000_000
 
 
 def digest(*parts: Column) -> Column:
@@ -70,12 +73,14 @@ def build(leaves: DataFrame) -> list[DataFrame]:
     """The stored levels 0, 4, 8, ... of all trees: (tree, pos, n, digest), n being the nodes of the
     tree on that level. A tree is on the levels up to the first where it is one node."""
     kept = [leaves]
-    while (kept[-1].agg(F.max("n")).first()[0] or 0) > 1:
+    while True:
+        size = kept[-1].agg(F.max("n").alias("n"), F.count("*").alias("nodes")).first()
+        if (size["n"] or 0) <= 1:
+            return kept
         up = subtrees(kept[-1], []).select(
             "tree", F.col("chunk").alias("pos"), F.expr(f"(n + {CHUNK - 1}) div {CHUNK}").alias("n"),
             F.col(f"a{LEVELS}")[0].alias("digest"))
-        kept.append(stored(up, "merkle"))
-    return kept
+        kept.append(stored(up.repartition(parts_for(size["nodes"], FILE_NODES)), "merkle"))
 
 
 def roots(kept: list[DataFrame]) -> DataFrame:
@@ -161,11 +166,10 @@ def build_manifest(docs: DataFrame, leaf: Column, by: Column, order: Column, pay
     ``payload`` names further columns that the proofs shall carry. Any column may be null, and null is a
     value of ``by`` of its own. An empty table has no root and no proofs. Other columns are not
     read."""
-    rows = stored(docs.select(
+    rows = docs.select(
         F.when(by.isNull(), "").otherwise(F.concat(F.lit("="), by.cast("string"))).alias("tree"),
         order.alias("order"), leaf.alias("digest"), F.monotonically_increasing_id().alias("row"),
-        *[c.alias(name) for name, c in payload.items()]), "leaves")
-    leaves = stored(ranked(rows, ["order", "digest", "row"]).drop("order", "row"), "merkle")
-    levels = build(leaves)
+        *[c.alias(name) for name, c in payload.items()])
+    levels = build(ranked(rows, ["order", "digest", "row"]).drop("order", "row"))
     names = roots(levels).select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
-    return Manifest(levels, build(stored(ranked(names, ["name"]), "merkle")), list(payload))
+    return Manifest(levels, build(ranked(names, ["name"])), list(payload))
