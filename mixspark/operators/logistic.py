@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from mixspark.functions.expr import constants, dot, horner, total
 from mixspark.functions.rand import first_hit, uniform, uniform_int, uniform_value
 from mixspark.operators.encode import masked_all
-from mixspark.operators.sample import draw_steps, few_tasks, minibatch_fraction, steps_to_draw
+from mixspark.operators.rounds import Rounds, run, tasks_for
+from mixspark.operators.sample import draw_steps, minibatch_fraction, steps_to_draw
 
 # Fixed values of the stopping rule.
 QUIET_GRADIENT = 1e-5
 QUIET_STEPS = 10
-# Rows of a training pool that make a task worth starting.
-TASK_ROWS = 20_000
 # Columns of the convergence summary.
 LOG_STEPS = 5
 
@@ -43,6 +42,7 @@ class Trained:
     w: np.ndarray
     history: list[tuple] = field(default_factory=list)  # (iter, lr, grad_l1, n)
     converged: bool = False
+    seconds: float = 0.0  # this fit's share of the time its rounds took
 
 
 # ---- scoring ---------------------------------------------------------------------------------
@@ -381,68 +381,111 @@ def trained_from_row(r) -> Trained:
                    r["converged"])
 
 
-def train_stepwise(pool: DataFrame, w0: dict[int, np.ndarray], d: int, params: list[LogisticParams],
-                   max_steps: int, drawn: int, rows: float,
-                   scale: dict | None = None) -> dict[tuple[int, int], Trained]:
-    """Fit every parameter set on every training set with one distributed aggregate per step: each task
-    sums the gradients of its rows for all fits and hands over one packed array per training set.
-    The driver holds the weights only. Gives what ``train_pooled`` gives, by (combination, set). The
-    pool, of about ``rows`` rows, is spread over as many tasks as have enough of them to do."""
-    w = {g: np.repeat(np.asarray(v, dtype=float)[None, :], len(params), axis=0) for g, v in w0.items()}
-    size = len(next(iter(w0.values())))
-    lam = np.array([p.lam for p in params])
-    stop, done = {g: Stopper(len(params)) for g in w0}, dict.fromkeys(w0, 0)
-    logs = {(c, g): [] for c in range(len(params)) for g in w0}
-    # Inside a partition the rows are in the order of the steps, so a step reads few cached batches.
-    tasks = min(few_tasks(pool.sparkSession), math.ceil(rows / TASK_ROWS))
-    held = pool.repartition(max(1, tasks)).sortWithinPartitions("it").persist()
-    try:
-        for i in range(1, drawn + 1):
-            live = [g for g in w0 if done[g] < max_steps and stop[g].active().any()]
-            if not live:
-                break
-            step = held.where((F.col("it") == i) & F.col("grp").isin(live))
-            for g, (n, grad) in _step_sums(step, {g: w[g] for g in live}, d, size, lam, scale).items():
-                grad = grad / n
-                l1 = np.abs(grad).sum(axis=1)
-                done[g] += 1
-                for m in np.flatnonzero(stop[g].active()):
-                    lr = learning_rate(params[m], done[g])
-                    logs[m, g].append((done[g], lr, float(l1[m]), n))
-                    w[g][m] = update(w[g][m], grad[m], lr, params[m].reg)
-                stop[g].note(l1)
-        short = [g for g in w0 if done[g] < max_steps and stop[g].active().any()]
-        if short:
-            raise RuntimeError(f"only {[done[g] for g in short]} of {max_steps} drawn steps had rows")
-    finally:
-        held.unpersist()
-    return {(c, g): Trained(w[g][c], logs[c, g], not stop[g].active()[c]) for c, g in logs}
-
-
-def _step_sums(rows: DataFrame, w: dict[int, np.ndarray], d: int, size: int, lam: np.ndarray,
-               scale: dict | None) -> dict[int, tuple[int, np.ndarray]]:
-    """Rows and gradient sums of each training set's minibatch, for all its parameter sets."""
-    def part(batches):
-        total: dict[int, list] = {}
-        for pdf in batches:
-            for g, mine in pdf.groupby("grp"):
-                x = np.stack(mine["nums"].to_numpy()).astype(float).reshape(len(mine), d)
-                if scale is not None:
-                    x = (x - scale[g][0]) / scale[g][1]
-                slot, z = mine["slot"].to_numpy(), mine["z"].to_numpy(dtype=float)
-                pull = pull_batch(x, slot, z, w[g], d, lam)
-                sums = total.setdefault(int(g), [0, np.zeros((len(lam), size))])
-                sums[0] += len(mine)
-                sums[1] += gradient_sums(x, slot, pull, d, size)
-        yield pd.DataFrame({"grp": list(total), "n": [t[0] for t in total.values()],
-                            "sums": [t[1].tobytes() for t in total.values()]})
-
-    out: dict[int, tuple[int, np.ndarray]] = {}
-    parts = rows.select("grp", "nums", "slot", "z").mapInPandas(part, "grp int, n bigint, sums binary").collect()
-    for r in sorted(parts, key=lambda r: (r["grp"], r["n"], bytes(r["sums"]))):
-        n, sums = out.get(r["grp"], (0, 0.0))
-        out[r["grp"]] = n + r["n"], sums + np.frombuffer(r["sums"]).reshape(len(lam), size)
-    return out
+class Descent(Rounds):
+    """All parameter sets on all training sets, a step per round. A task's message has, per training set
+    still going, the rows of its minibatch and the gradient sums of every parameter set. Steps without rows
+    are passed over, as a redraw would. ``scale`` maps a training set to the (low, span) of its numerics where
+    the pool holds unscaled ones."""
+
+    def __init__(self, w0: dict[int, np.ndarray], d: int, params: list[LogisticParams], max_steps: int,
+                 drawn: int, scale: dict | None = None):
+        super().__init__()
+        self.w = {g: np.repeat(np.asarray(v, dtype=float)[None, :], len(params), axis=0) for g, v in w0.items()}
+        self.d, self.params, self.max_steps, self.drawn, self.scale = d, params, max_steps, drawn, scale
+        self.size = len(next(iter(w0.values())))
+        self.lam = np.array([p.lam for p in params])
+        self.stop, self.steps = {g: Stopper(len(params)) for g in w0}, dict.fromkeys(w0, 0)
+        self.logs = {(c, g): [] for c in range(len(params)) for g in w0}
+        self.seconds = dict.fromkeys(self.logs, 0.0)
+        self.step = 1
+        self._look()
+
+    def _look(self):
+        self.live = [g for g in self.w if self.steps[g] < self.max_steps and self.stop[g].active().any()]
+        self.done = not self.live or self.step > self.drawn
+        if self.live and self.done:
+            self.error = f"only {[self.steps[g] for g in self.live]} of {self.max_steps} drawn steps had rows"
+
+    def rows(self, df):
+        return df.where((F.col("it") == self.step) & F.col("grp").isin(self.live))
+
+    def load(self, batches):
+        """Blocks {(training set, step): (numerics, slots, signs)}."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array(batch["nums"].to_pylist(), dtype=float).reshape(batch.num_rows, self.d)
+            slot, z, grp, it = (batch[c].to_numpy() for c in ("slot", "z", "grp", "it"))
+            order = np.lexsort((it, grp))
+            cuts = np.flatnonzero((np.diff(it[order]) != 0) | (np.diff(grp[order]) != 0)) + 1
+            block = {}
+            for mine in np.split(order, cuts):
+                g = int(grp[mine[0]])
+                nums = x[mine]
+                if self.scale is not None:
+                    nums = (nums - self.scale[g][0]) / self.scale[g][1]
+                block[g, int(it[mine[0]])] = (nums, slot[mine], z[mine].astype(float))
+            yield block
+
+    def message(self, blocks):
+        out = {g: [0, np.zeros((len(self.params), self.size))] for g in self.live}
+        for block in blocks:
+            for g, sums in out.items():
+                x, slot, z = block.get((g, self.step), (None,) * 3)
+                if x is not None:
+                    pull = pull_batch(x, slot, z, self.w[g], self.d, self.lam)
+                    sums[0] += len(x)
+                    sums[1] += gradient_sums(x, slot, pull, self.d, self.size)
+        return {g: s for g, s in out.items() if s[0]}
+
+    def merge(self, messages):
+        out = {}
+        for message in messages:
+            for g, (n, sums) in message.items():
+                before = out.get(g, (0, 0.0))
+                out[g] = before[0] + n, before[1] + sums
+        return out
+
+    def advance(self, merged):
+        fits = [(m, g) for g in merged for m in np.flatnonzero(self.stop[g].active())]
+        share = self.lap() / max(1, len(fits))
+        for g, (n, grad) in merged.items():
+            grad = grad / n
+            l1 = np.abs(grad).sum(axis=1)
+            self.steps[g] += 1
+            for m in np.flatnonzero(self.stop[g].active()):
+                lr = learning_rate(self.params[m], self.steps[g])
+                self.logs[m, g].append((self.steps[g], lr, float(l1[m]), n))
+                self.w[g][m] = update(self.w[g][m], grad[m], lr, self.params[m].reg)
+                self.seconds[m, g] += share
+            self.stop[g].note(l1)
+        self.step += 1
+        self._look()
+
+    def outcome(self):
+        return {"w": self.w, "logs": self.logs, "seconds": self.seconds,
+                "quiet": {g: s.quiet for g, s in self.stop.items()}}
+
+    def take(self, outcome):
+        self.w, self.logs, self.seconds = outcome["w"], outcome["logs"], outcome["seconds"]
+        for g, quiet in outcome["quiet"].items():
+            self.stop[g].quiet = quiet
+
+    def trained(self) -> dict[tuple[int, int], Trained]:
+        return {(c, g): Trained(self.w[g][c], log, not self.stop[g].active()[c], self.seconds[c, g])
+                for (c, g), log in self.logs.items()}
+
+
+def train_together(pool: DataFrame, w0: dict[int, np.ndarray], d: int, params: list[LogisticParams],
+                   max_steps: int, drawn: int, rows: float, scale: dict | None = None,
+                   one_job: bool | None = None) -> dict[tuple[int, int], Trained]:
+    """Fit every parameter set on every training set over a pool of about ``rows`` rows, by (combination,
+    set): one job whose tasks keep their part of the pool and exchange gradient sums at each step, or a job
+    a step where the pool or the session do not allow that."""
+    fit = Descent(w0, d, params, max_steps, drawn, scale)
+    tasks = tasks_for(pool.sparkSession, rows)
+    message = 8 * fit.size * len(params) * len(w0) * 4 / 3
+    return run(fit, pool, fit.load, tasks, rows * 8 * (d + 4), message, one_job).trained()
 
 
 def train_by_steps(step_rows, w0, d: int, params: LogisticParams, max_steps: int,
@@ -471,11 +514,13 @@ def train(encoded: DataFrame, n: int, d: int, n_slots: int, params: LogisticPara
           slots: str = "random", init: str = "uniform", pool: DataFrame | None = None) -> Trained:
     """Fit the weights: ``max_iterations - 1`` steps.
 
-    ``solver="aggregate"`` (also "auto") runs one distributed job per step; ``"pooled"`` runs all steps
-    in one task over the bounded pool of minibatches, which is quicker for small ones. Both draw the
-    same rows and slots, whatever the sizes. ``slots="all"`` uses every slot of each row instead of
-    one random slot (aggregate only).
+    ``solver="barrier"`` runs all steps in one job, whose tasks exchange gradient sums; ``"aggregate"`` runs
+    a distributed job per step; "auto" takes the first where the session can run all tasks at once and they can
+    hold the pool. ``"pooled"`` runs all steps in one task. All draw the same rows and slots, whatever the
+    sizes. ``slots="all"`` uses every slot of each row instead of one random slot (a job per step).
     """
+    if solver not in ("auto", "barrier", "aggregate", "pooled"):
+        raise ValueError("solver must be 'auto', 'barrier', 'aggregate' or 'pooled'")
     steps = max_iterations - 1
     f = minibatch_fraction(n, minibatch)
     drawn = steps_to_draw(steps, n, f)
@@ -497,7 +542,8 @@ def train(encoded: DataFrame, n: int, d: int, n_slots: int, params: LogisticPara
             return masked_all(picked, n_slots)
     elif pool_fits(drawn, f):
         pool = draw_pool(encoded, n_slots, drawn, f, seed) if pool is None else pool
-        return train_stepwise(pool, {0: w0}, d, [params], steps, drawn, drawn * f * n)[0, 0]
+        together = {"auto": None, "aggregate": False, "barrier": True}[solver]
+        return train_together(pool, {0: w0}, d, [params], steps, drawn, drawn * f * n, one_job=together)[0, 0]
     else:
         # Minibatches that add up to many times the table: draw from the rows step by step.
         base = encoded.select("key", "nums", "slots").persist()

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixspark.functions.expr import constants, log_sum_exp, total
+from mixspark.functions.rand import uniform
+from mixspark.operators.rounds import Rounds, run, run_here, tasks_for
 
 # The iteration limits and tolerance of the fit, and the attempts before giving up.
 KMEANS_ITERATIONS = 10
@@ -20,11 +20,15 @@ EM_ITERATIONS = 100
 EM_TOLERANCE = 0.01
 ATTEMPTS = 20
 EPS = float(np.finfo(float).eps)
+# Fixed value: centres that move no further than this end k-means.
+KMEANS_MOVE = 1e-4
+# Turns of drawing candidates for the start of k-means, and what sets a row's draws of the turns apart.
+OVERSAMPLING = 2
+TURN = 0.618033988749895
 
 # Terms of the quadratic forms written out as generated code (its methods must stay small enough
 # to be compiled to machine code); beyond that, numpy over Arrow batches.
 DENSITY_TERMS = 320
-EM_TERMS = 12
 
 
 @dataclass
@@ -113,17 +117,6 @@ def log_density_batch(x, roots, mu, weights=None):
 
 # ---- k-means and the initial mixture ---------------------------------------------------------
 
-def kmeans(sample: DataFrame, k: int, seed: int = 0, max_iter: int = KMEANS_ITERATIONS):
-    """Centres by Spark's k-means; one centre is the mean."""
-    if k == 1:
-        means = sample.select(F.posexplode("nums").alias("pos", "x")).groupBy("pos").agg(
-            F.avg("x").alias("m")).orderBy("pos").collect()
-        return np.array([[r["m"] for r in means]])
-    rows = sample.select(array_to_vector("nums").alias("features"))
-    fitted = KMeans(k=k, maxIter=max_iter, seed=seed).fit(rows)
-    return np.array([np.asarray(c) for c in fitted.clusterCenters()])
-
-
 def squared_distance(nums: Column, centre) -> Column:
     if len(centre) <= 64:
         at = constants([float(c) for c in centre])
@@ -143,8 +136,18 @@ def assign(sample: DataFrame, centres) -> DataFrame:
         *sample.columns, F.col("__best.comp").alias("comp"), F.col("__best.dist").alias("dist"))
 
 
-def cluster_deviation(assigned: DataFrame, centres) -> DataFrame:
-    """(comp, n, dev): root mean square deviation from the centre in each dimension."""
+DEVIATIONS = ("rms", "summed")
+
+
+def cluster_deviation(assigned: DataFrame, centres, deviation: str = "rms") -> DataFrame:
+    """(comp, n, dev): deviation from the centre in each dimension. "rms" is the root of the mean square,
+    "summed" the root of the sum of squares, divided by the rows."""
+    if deviation not in DEVIATIONS:
+        raise ValueError("deviation must be 'rms' or 'summed'")
+
+    def spread(x: Column) -> Column:
+        return F.sqrt(F.avg(x)) if deviation == "rms" else F.sqrt(F.sum(x)) / F.count(x)
+
     d = len(centres[0])
     at = F.create_map(*[x for i, c in enumerate(centres)
                         for x in (F.lit(i), constants([float(v) for v in c]))])
@@ -153,9 +156,9 @@ def cluster_deviation(assigned: DataFrame, centres) -> DataFrame:
     if d <= 64:
         return rows.groupBy("comp").agg(
             F.count("*").alias("n"),
-            F.array(*[F.sqrt(F.avg(F.col("sq")[j])) for j in range(d)]).alias("dev"))
+            F.array(*[spread(F.col("sq")[j]) for j in range(d)]).alias("dev"))
     cells = rows.select("comp", F.posexplode("sq").alias("pos", "x"))
-    parts = cells.groupBy("comp", "pos").agg(F.count("*").alias("n"), F.sqrt(F.avg("x")).alias("s"))
+    parts = cells.groupBy("comp", "pos").agg(F.count("*").alias("n"), spread(F.col("x")).alias("s"))
     return parts.groupBy("comp").agg(
         F.max("n").alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda t: t["s"])
@@ -176,9 +179,9 @@ def initial_from_deviation(rows, centres, init_cov: str = "std") -> Mixture:
     )
 
 
-def initial_mixture(sample: DataFrame, centres, init_cov: str = "std") -> Mixture:
+def initial_mixture(sample: DataFrame, centres, init_cov: str = "std", deviation: str = "rms") -> Mixture:
     return initial_from_deviation(
-        cluster_deviation(assign(sample, centres), centres).collect(), centres, init_cov)
+        cluster_deviation(assign(sample, centres), centres, deviation).collect(), centres, init_cov)
 
 
 def mixture_frame(spark: SparkSession, m: Mixture) -> DataFrame:
@@ -237,54 +240,15 @@ def maximise_rows(sums: DataFrame, d: int) -> DataFrame:
         "loglik")
 
 
-def em_batch(x, m: Mixture, floor: float = 0.0):
+def em_batch(x, m: Mixture, floor: float = 0.0, roots=None):
     """The same statistics of a batch: (loglik, n, r[k], s[k,d], ss[k,d,d])."""
-    p = EPS + m.weights * np.exp(log_pdf_batch(x, m.roots(floor), m.mu))
+    p = EPS + m.weights * np.exp(log_pdf_batch(x, roots or m.roots(floor), m.mu))
     t = p.sum(axis=1)
     r = p / t[:, None]
     return (float(np.log(t).sum()), len(x), r.sum(axis=0), r.T @ x,
             np.einsum("nk,ni,nj->kij", r, x, x, optimize=True))
 
 
-def _em_sums_wide(sample: DataFrame, m: Mixture, floor: float):
-    """Batch statistics summed by Spark as (pos, value) cells: k (1 + d + d^2) rows at the end."""
-    k, d = m.k, m.d
-
-    def partials(batches):
-        for pdf in batches:
-            if len(pdf):
-                ll, n, r, s, ss = em_batch(np.stack(pdf["nums"].to_numpy()), m, floor)
-                cells = np.concatenate([[ll, n], r, s.ravel(), ss.ravel()])
-                yield pd.DataFrame({"pos": np.arange(len(cells)), "v": cells})
-
-    rows = (
-        sample.select("nums").mapInPandas(partials, "pos bigint, v double")
-        .groupBy("pos").agg(F.sum("v").alias("v")).collect()
-    )
-    v = np.zeros(2 + k + k * d + k * d * d)
-    for row in rows:
-        v[row["pos"]] = row["v"]
-    at = 2 + k
-    return (v[0], int(v[1]), v[2:at], v[at:at + k * d].reshape(k, d),
-            v[at + k * d:].reshape(k, d, d))
-
-
-def em_statistics(sample: DataFrame, m: Mixture, floor: float = 0.0):
-    """One distributed E-step: (loglik, n, r, s, ss). Only the sums reach the driver."""
-    if m.terms > EM_TERMS:
-        return _em_sums_wide(sample, m, floor)
-    k, d = m.k, m.d
-    r, s, ss, ll, n = np.zeros(k), np.zeros((k, d)), np.zeros((k, d, d)), 0.0, 0
-    for row in em_sums(sample, m, floor).collect():
-        c = row["comp"]
-        ll, n, r[c] = row["loglik"], row["n"], row["r"]
-        for i in range(d):
-            s[c, i] = row[f"s{i}"]
-            for j in range(i, d):
-                ss[c, i, j] = ss[c, j, i] = row[f"s{i}_{j}"]
-    return ll, n, r, s, ss
-
-
 def maximise(r, s, ss) -> Mixture:
     """M-step."""
     mu = s / r[:, None]
@@ -292,103 +256,291 @@ def maximise(r, s, ss) -> Mixture:
     return Mixture(r / r.sum(), mu, sigma)
 
 
-def run_em(statistics, m: Mixture, max_iter: int = EM_ITERATIONS, tol: float = EM_TOLERANCE):
-    """EM until the log-likelihood moves by at most ``tol``. ``statistics(m)`` is one E-step."""
-    previous = None
-    for i in range(max_iter):
-        ll, _, r, s, ss = statistics(m)
-        m = maximise(r, s, ss)
-        if not (np.isfinite(m.mu).all() and np.isfinite(m.sigma).all()):
-            raise ValueError("EM left the finite range")
-        if previous is not None and abs(ll - previous) <= tol:
-            break
-        previous = ll
-    return m, ll, i + 1
-
-
-def lloyd(x, k: int, rng, max_iter: int = KMEANS_ITERATIONS):
-    """k-means of a small sample: spread-out random start, then mean updates."""
-    centres = [x[rng.integers(len(x))]]
-    while len(centres) < k:
-        dist = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        if dist.sum() == 0:
-            break
-        centres.append(x[rng.choice(len(x), p=dist / dist.sum())])
-    centres = np.array(centres)
-    for _ in range(max_iter):
-        near = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        new = np.array([x[near == c].mean(axis=0) if (near == c).any() else centres[c]
-                        for c in range(len(centres))])
-        if np.allclose(new, centres, rtol=0, atol=1e-12):
-            break
-        centres = new
-    near = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-    return centres, near
-
-
-def retry(fit, seed: int, attempts: int = ATTEMPTS):
-    """Call ``fit(seed)`` with following seeds until it works; raise when none does."""
-    error = None
-    for a in range(attempts):
-        try:
-            return fit(seed + a)
-        except (ValueError, np.linalg.LinAlgError, ZeroDivisionError) as e:
-            error = e
-    raise RuntimeError(f"the mixture could not be fitted in {attempts} attempts: {error}")
+# ---- fits in rounds --------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class FitOptions:
+    """What holds for all fits of a call. ``only_centres`` ends a fit after its k-means."""
 
-def fit_batch(x, k: int, seed: int, init_cov: str = "std", floor: float = 0.0):
-    """Mixture of a bounded sample, inside one task."""
+    init_cov: str = "std"
+    deviation: str = "rms"
+    floor: float = 0.0
+    max_iter: int = EM_ITERATIONS
+    tol: float = EM_TOLERANCE
+    kmeans_iter: int = KMEANS_ITERATIONS
+    attempts: int = ATTEMPTS
+    only_centres: bool = False
 
-    def once(s):
-        centres, near = lloyd(x, k, np.random.default_rng(s))
-        rows = [{"comp": c, "dev": np.sqrt(((x[near == c] - centres[c]) ** 2).mean(axis=0))}
-                for c in range(len(centres)) if (near == c).any()]
-        start = initial_from_deviation(rows, centres, init_cov)
-        return run_em(lambda m: em_batch(x, m, floor), start)
 
-    return retry(once, seed)
+def shifted(u, attempt: int, turn: int):
+    """A row's draw for one turn of one attempt, from its one draw in [0, 1)."""
+    return (u + (attempt * (OVERSAMPLING + 1) + turn) * TURN) % 1.0
 
 
-MIXTURE_SCHEMA = "grp int, k int, weights array<double>, mu array<double>, sigma array<double>, " \
-    "loglik double, iterations int"
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, the first of equals, and its squared distance."""
+    d2 = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    near = d2.argmin(axis=1)
+    return near, d2[np.arange(len(x)), near]
 
 
-def fit_grouped(samples: DataFrame, seed: int, init_cov: str = "std", floor: float = 0.0,
-                scale: dict | None = None) -> DataFrame:
-    """One mixture per (grp, k) in one job. Each sample is bounded by k and the anomaly ratio, not by
-    the size of the data; callers check that bound."""
+def spread_out(candidates: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """At most k of the candidates: the heaviest, then again and again the one of the largest weight times
+    squared distance to those chosen. Candidates in one place count once; the first wins ties."""
+    chosen = [int(np.argmax(weights))]
+    while len(chosen) < k:
+        gain = weights * nearest(candidates, candidates[chosen])[1]
+        if gain.max() <= 0:
+            break
+        chosen.append(int(np.argmax(gain)))
+    return candidates[chosen]
+
+
+class Fit:
+    """One mixture: k-means (a start by oversampling, then mean updates), first covariances, EM. A round
+    computes what its ``stage`` names from the rows of each task. A fit that fails starts again with other
+    draws; that is its next attempt."""
+
+    def __init__(self, k: int, options: FitOptions, start: Mixture | None = None):
+        self.k, self.options = k, options
+        self.attempt, self.done, self.error, self.failures = 0, False, None, []
+        self.seconds = 0.0
+        if start is None:
+            self._begin()
+        else:
+            self._tried(lambda: self._expect(start))
+
+    def _begin(self):
+        self.stage, self.turn, self.iterations, self.previous = "first", 0, 0, None
+
+    def _expect(self, m: Mixture):
+        """Go on with an E-step under ``m``."""
+        self.mixture, self.roots = m, m.roots(self.options.floor)
+        if self.stage_is_new("em"):
+            self.iterations, self.previous = 0, None
+
+    def stage_is_new(self, name: str) -> bool:
+        new, self.stage = getattr(self, "stage", None) != name, name
+        return new
+
+    # ---- in the tasks
+
+    def part(self, x: np.ndarray, u: np.ndarray):
+        if self.stage == "first":
+            turn = shifted(u, self.attempt, 0)
+            at = np.lexsort((*x.T[::-1], turn))[:1]
+            return np.column_stack([turn[at], x[at]])
+        if self.stage == "cost":
+            return nearest(x, self.centres)[1].sum()
+        if self.stage == "draw":
+            d2 = nearest(x, self.centres)[1]
+            turn = shifted(u, self.attempt, self.turn)
+            hit = turn < 2 * self.k * d2 / self.cost
+            return np.column_stack([turn[hit], x[hit]])
+        if self.stage in ("weigh", "lloyd", "deviation"):
+            near, d2 = nearest(x, self.centres)
+            n = np.bincount(near, minlength=len(self.centres)).astype(float)
+            if self.stage == "weigh":
+                return n
+            values = x if self.stage == "lloyd" else (x - self.centres[near]) ** 2
+            return np.column_stack([n, np.eye(len(n))[near].T @ values])
+        return em_batch(x, self.mixture, roots=self.roots)
+
+    def merge(self, parts: list):
+        if self.stage == "em":
+            return tuple(sum(p) for p in zip(*parts))
+        if self.stage in ("first", "draw"):
+            rows = np.concatenate(parts)
+            return rows[np.lexsort(rows.T[::-1])][:1 if self.stage == "first" else None]
+        return sum(parts)
+
+    # ---- the same everywhere
+
+    def advance(self, merged) -> None:
+        self._tried(lambda: getattr(self, f"_{self.stage}")(merged))
+
+    def _tried(self, step) -> None:
+        try:
+            step()
+        except (ValueError, np.linalg.LinAlgError, ZeroDivisionError) as e:
+            self.failures.append(str(e))
+            self.attempt += 1
+            if self.attempt >= self.options.attempts:
+                self.done = True
+                self.error = f"the mixture could not be fitted in {self.attempt} attempts: {e}"
+            else:
+                self._begin()
+
+    def _first(self, rows):
+        if not len(rows):
+            raise ValueError("no rows")
+        self.centres, self.turn, self.stage = rows[:, 1:], 0, "cost"
+
+    def _cost(self, cost):
+        self.cost, self.turn = float(cost), self.turn + 1
+        if not np.isfinite(self.cost):
+            raise ValueError("a row is not finite")
+        self.stage = "draw" if self.cost > 0 else "weigh"
+
+    def _draw(self, rows):
+        self.centres = np.concatenate([self.centres, rows[:, 1:]])
+        self.stage = "cost" if self.turn < OVERSAMPLING else "weigh"
+
+    def _weigh(self, n):
+        self.centres = spread_out(self.centres, n, self.k)
+        self.stage = "lloyd"
+
+    def _lloyd(self, sums):
+        n = sums[:, 0]
+        mean = sums[:, 1:] / np.maximum(n, 1.0)[:, None]
+        new = np.where(n[:, None] > 0, mean, self.centres)
+        moved = ((new - self.centres) ** 2).sum(axis=1).max()
+        self.centres, self.iterations = new, self.iterations + 1
+        if self.iterations >= self.options.kmeans_iter or moved <= KMEANS_MOVE ** 2:
+            self.stage, self.done = "deviation", self.options.only_centres
+
+    def _deviation(self, sums):
+        n = sums[:, 0]
+        if self.options.deviation == "summed":
+            dev = np.sqrt(sums[:, 1:]) / np.maximum(n, 1.0)[:, None]
+        else:
+            dev = np.sqrt(sums[:, 1:] / np.maximum(n, 1.0)[:, None])
+        rows = [{"comp": c, "dev": dev[c]} for c in np.flatnonzero(n)]
+        self._expect(initial_from_deviation(rows, self.centres, self.options.init_cov))
+
+    def _em(self, sums):
+        ll, _, r, s, ss = sums
+        with np.errstate(all="ignore"):
+            m = maximise(r, s, ss)
+        if not (np.isfinite(m.mu).all() and np.isfinite(m.sigma).all()):
+            raise ValueError("EM left the finite range")
+        self.iterations, self.loglik = self.iterations + 1, ll
+        if self.iterations >= self.options.max_iter or (
+                self.previous is not None and abs(ll - self.previous) <= self.options.tol):
+            self.mixture, self.done = m, True
+        else:
+            self.previous = ll
+            self._expect(m)
 
-    def fit(key, pdf):
-        x = np.stack(pdf["nums"].to_numpy()).astype(float)
-        if scale is not None:
-            x = (x - scale[int(key[0])][0]) / scale[int(key[0])][1]
-        # Rows arrive in shuffle order; sorting makes the fit independent of it.
-        x = x[np.lexsort(x.T[::-1])]
-        m, ll, it = fit_batch(x, int(key[1]), seed, init_cov, floor)
-        return pd.DataFrame([{
-            "grp": int(key[0]), "k": int(key[1]), "weights": m.weights, "mu": m.mu.ravel(),
-            "sigma": m.sigma.ravel(), "loglik": ll, "iterations": it,
-        }])
 
-    return samples.groupBy("grp", "k").applyInPandas(fit, MIXTURE_SCHEMA)
+FOUND = ("centres", "loglik", "iterations", "attempt", "failures", "seconds", "error", "done")
 
 
-def mixture_from_row(row, d: int) -> Mixture:
-    k = len(row["weights"])
-    return Mixture(np.array(row["weights"]), np.array(row["mu"]).reshape(k, d),
-                   np.array(row["sigma"]).reshape(k, d, d))
+class Fits(Rounds):
+    """Several mixtures in common rounds, by (training set, k); each leaves when it is done. Rows of a fit
+    are (numerics, draw) pairs."""
 
+    def __init__(self, keys, d: int, options: FitOptions, scale: dict | None = None,
+                 starts: dict | None = None):
+        super().__init__()
+        self.d, self.scale = d, scale
+        self.fits = {key: Fit(key[1], options, (starts or {}).get(key)) for key in keys}
 
-def fit_mixture(sample: DataFrame, k: int, seed: int = 0, init_cov: str = "std",
-                floor: float = 0.0, max_iter: int = EM_ITERATIONS, tol: float = EM_TOLERANCE):
-    """Mixture of a sample of any size: Spark's k-means, then one aggregate job per EM iteration.
-    Returns (mixture, log-likelihood, iterations)."""
-    sample = sample.select("nums").persist()
-    try:
-        def once(s):
-            start = initial_mixture(sample, kmeans(sample, k, s), init_cov)
-            return run_em(lambda m: em_statistics(sample, m, floor), start, max_iter, tol)
-        return retry(once, seed)
-    finally:
-        sample.unpersist()
+    def load(self, batches):
+        """Blocks {key: (numerics, draws)}."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.array(batch["nums"].to_pylist(), dtype=float).reshape(batch.num_rows, self.d)
+            grp, k, u = (batch[c].to_numpy() for c in ("grp", "k", "u"))
+            block = {}
+            for key in self.fits:
+                mine = (grp == key[0]) & (k == key[1])
+                if mine.any():
+                    nums = x[mine]
+                    if self.scale is not None:
+                        nums = (nums - self.scale[key[0]][0]) / self.scale[key[0]][1]
+                    block[key] = nums, u[mine]
+            yield block
+
+    def message(self, blocks):
+        parts: dict = {}
+        with np.errstate(all="ignore"):
+            for block in blocks:
+                for key, rows in block.items():
+                    if not self.fits[key].done:
+                        parts.setdefault(key, []).append(self.fits[key].part(*rows))
+            return {key: self.fits[key].merge(p) for key, p in parts.items()}
+
+    def merge(self, messages):
+        parts: dict = {}
+        for message in messages:
+            for key, part in message.items():
+                parts.setdefault(key, []).append(part)
+        return {key: self.fits[key].merge(p) for key, p in parts.items()}
+
+    def advance(self, merged):
+        live = [f for f in self.fits.values() if not f.done]
+        share = self.lap() / max(1, len(live))
+        for key, fit in self.fits.items():
+            if not fit.done:
+                fit.seconds += share
+                if key not in merged:
+                    fit.done, fit.error = True, "no rows to fit a mixture on"
+                else:
+                    fit.advance(merged[key])
+        self.done = all(f.done for f in self.fits.values())
+        self.error = next((f.error for f in self.fits.values() if f.error), None)
+
+
+    def outcome(self):
+        found = {}
+        for key, f in self.fits.items():
+            plain = {c: getattr(f, c, None) for c in FOUND}
+            m = getattr(f, "mixture", None)
+            found[key] = plain, None if m is None else (m.weights, m.mu, m.sigma)
+        return found
+
+    def take(self, outcome):
+        for key, (plain, m) in outcome.items():
+            self.fits[key].__dict__.update(plain, mixture=None if m is None else Mixture(*m))
+
+
+def draw_of(key: Column, seed, grp=0) -> Column:
+    """The row's draw for the start of k-means."""
+    return uniform(key, "start", seed, grp)
+
+
+def fit_mixtures(samples: DataFrame, keys, d: int, rows: float, options: FitOptions,
+                 scale: dict | None = None, starts: dict | None = None, one_job: bool | None = None) -> dict:
+    """The fits of all keys (training set, k) over samples (grp, k, u, nums) of about ``rows`` rows, by key.
+    The samples stay in their tasks, which exchange packed sums in each round: all rounds in one job, or a
+    job per round where the samples or the session do not allow that."""
+    fits = Fits(keys, d, options, scale, starts)
+    most = max(k for _, k in fits.fits)
+    message = len(fits.fits) * 8 * most * (2 + d + d * d) * 4 / 3
+    tasks = tasks_for(samples.sparkSession, rows)
+    return run(fits, samples.select("grp", "k", "u", "nums"), fits.load, tasks, rows * 8 * (d + 4), message,
+               one_job).fits
+
+
+def _alone(sample: DataFrame, k: int, seed) -> tuple[DataFrame, int, int]:
+    """A sample as the only training set, its width and its size. Rows without a key are told apart by
+    their numerics."""
+    key = F.col("key") if "key" in sample.columns else F.array_join(F.col("nums").cast("array<string>"), ",")
+    one = sample.agg(F.count("*").alias("n"), F.max(F.size("nums")).alias("d")).first()
+    rows = sample.select(F.lit(0).alias("grp"), F.lit(k).alias("k"), draw_of(key, seed).alias("u"), "nums")
+    return rows, one["d"] or 0, one["n"]
+
+
+def kmeans(sample: DataFrame, k: int, seed=0, max_iter: int = KMEANS_ITERATIONS, one_job: bool | None = None):
+    """Centres of a sample of any size. The start draws candidates with chances in proportion to their
+    squared distance, twice over, weighs them by the rows next to them and spreads k of them out. Fewer
+    distinct rows give fewer centres."""
+    rows, d, n = _alone(sample, k, seed)
+    options = FitOptions(kmeans_iter=max_iter, only_centres=True)
+    return fit_mixtures(rows, [(0, k)], d, n, options, one_job=one_job)[0, k].centres
+
+
+def fit_mixture(sample: DataFrame, k: int, seed=0, one_job: bool | None = None, start: Mixture | None = None,
+                **options) -> Fit:
+    """The fit of one mixture to a sample of any size: ``mixture``, ``loglik``, ``iterations``, ``attempt``."""
+    rows, d, n = _alone(sample, k, seed)
+    starts = None if start is None else {(0, k): start}
+    return fit_mixtures(rows, [(0, k)], d, n, FitOptions(**options), starts=starts, one_job=one_job)[0, k]
+
+
+def fit_batch(x, u, k: int, **options) -> Fit:
+    """The same fit of rows and their draws in this process."""
+    fits = Fits([(0, k)], x.shape[1], FitOptions(**options))
+    return run_here(fits, [{(0, k): (x, u)}]).fits[0, k]

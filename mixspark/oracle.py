@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mixspark import queries as q
+from mixspark.operators.mixture import OVERSAMPLING, TURN
 
 S = q.SEED
 TWO52 = "4503599627370496.0"
@@ -313,17 +314,57 @@ ORACLE["kmeans_assign"] = f"""with {ORDERS}, {NEAREST}
 select key, cast(comp as integer) as comp, {r6('dist')} as dist from nr"""
 
 DEVIATION = """dv as (select comp, count(*) as n, sqrt(avg((n0 - m0) * (n0 - m0))) as d0,
-  sqrt(avg((n1 - m1) * (n1 - m1))) as d1, any_value(m0) as m0, any_value(m1) as m1 from nr group by comp)"""
+  sqrt(avg((n1 - m1) * (n1 - m1))) as d1, sqrt(sum((n0 - m0) * (n0 - m0))) / count(*) as e0,
+  sqrt(sum((n1 - m1) * (n1 - m1))) / count(*) as e1, any_value(m0) as m0, any_value(m1) as m1 from nr group by comp)"""
 
 ORACLE["cluster_deviation"] = f"""with {ORDERS}, {NEAREST}, {DEVIATION}
-select cast(comp as integer) as comp, n, cast(0 as integer) as dim, {r6('d0')} as dev from dv
-union all select cast(comp as integer), n, cast(1 as integer), {r6('d1')} from dv"""
+select cast(comp as integer) as comp, n, cast(0 as integer) as dim, {r6('d0')} as dev, round(e0, 9) as summed from dv
+union all select cast(comp as integer), n, cast(1 as integer), {r6('d1')}, round(e1, 9) from dv"""
 
 ORACLE["initial_mixture"] = f"""with {ORDERS}, {NEAREST}, {DEVIATION},
-iv as (select cast(row_number() over (order by comp) - 1 as integer) as comp, m0, m1, d0, d1,
+iv as (select cast(row_number() over (order by comp) - 1 as integer) as comp, m0, m1, d0, d1, e0, e1,
   {r6('1.0 / (select count(*) from dv)')} as weight from dv)
-select comp, weight, cast(0 as integer) as dim, m0::double as mu, {r6('d0')} as variance from iv
-union all select comp, weight, cast(1 as integer), m1::double, {r6('d1')} from iv"""
+select comp, weight, cast(0 as integer) as dim, m0::double as mu, {r6('d0')} as variance,
+  round(e0, 9) as variance_summed from iv
+union all select comp, weight, cast(1 as integer), m1::double, {r6('d1')}, round(e1, 9) from iv"""
+
+
+def kmeans(k: int, turns: int, updates: int) -> str:
+    """CTEs ending in `c{updates}(comp, m0, m1)`: start by oversampling, then mean updates."""
+    draw = u("key", quote("start"), S, 0)
+    parts = [f"""us as materialized (select key, n0, n1, {draw} as u from enc),
+cand0 as materialized (select 0 as i, n0 as m0, n1 as m1 from us order by u, n0, n1 limit 1)"""]
+
+    def near(name, centres, i):
+        return f"""{name} as materialized (select key, any_value(us.n0) as n0, any_value(us.n1) as n1, any_value(u) as u,
+    min(struct_pack(d2 := (us.n0 - m0) * (us.n0 - m0) + (us.n1 - m1) * (us.n1 - m1), i := {i})) as best
+  from us cross join {centres} group by key)"""
+    for t in range(1, turns + 1):
+        parts.append(f"""{near(f'nr{t}', f'cand{t - 1}', 'i')},
+hit{t} as (select n0, n1, (u + {t} * {TURN!r}) % 1.0 as turn from nr{t}
+  where (u + {t} * {TURN!r}) % 1.0 < {2 * k} * best.d2 / (select sum(best.d2) from nr{t})),
+cand{t} as materialized (select * from cand{t - 1} union all
+  select (select count(*) from cand{t - 1}) + row_number() over (order by turn, n0, n1) - 1, n0, n1 from hit{t})""")
+    parts.append(f"""{near('heavy', f'cand{turns}', 'i')},
+wt as materialized (select c.i, m0, m1, (select count(*) from heavy where best.i = c.i) as w from cand{turns} c),
+pick1 as materialized (select 0 as comp, m0, m1 from wt order by w desc, i limit 1)""")
+    for c in range(2, k + 1):
+        parts.append(f"""gain{c} as (select any_value(wt.m0) as m0, any_value(wt.m1) as m1, wt.i, any_value(w) *
+    min((wt.m0 - p.m0) * (wt.m0 - p.m0) + (wt.m1 - p.m1) * (wt.m1 - p.m1)) as gain
+  from wt cross join pick{c - 1} p group by wt.i),
+pick{c} as materialized (select * from pick{c - 1} union all
+  (select {c - 1}, m0, m1 from gain{c} where gain > 0 order by gain desc, i limit 1))""")
+    parts.append(f"c0 as (select * from pick{k})")
+    for t in range(1, updates + 1):
+        parts.append(f"""{near(f'at{t}', f'c{t - 1}', 'comp')},
+c{t} as materialized (select comp, coalesce((select avg(n0) from at{t} where best.i = comp), m0) as m0,
+  coalesce((select avg(n1) from at{t} where best.i = comp), m1) as m1 from c{t - 1})""")
+    return ",\n".join(parts)
+
+
+ORACLE["kmeans_small"] = f"""with {ORDERS}, {kmeans(3, OVERSAMPLING, 3)}
+select cast(comp as integer) as comp, cast(0 as integer) as dim, {r6('m0')} as x from c3
+union all select cast(comp as integer), cast(1 as integer), {r6('m1')} from c3"""
 
 EM = ", ".join(f"2.220446049250313e-16 + {w} * ({p}) as p{i}" for i, (w, p) in
                enumerate(zip(q.PAIR_MIXTURE.weights, pdf2_parts("n0", "n1"))))
@@ -339,6 +380,37 @@ select cast(comp as integer) as comp, {r6('sum(r) / count(*)')} as weight,
   round(sum(l), 4) as loglik
 from er group by comp"""
 
+
+
+def em_iterations(n: int) -> str:
+    """CTEs `m0..mn`: mixtures of two numerics, and `e1..en`: the rows' responsibilities."""
+    m = q.PAIR_MIXTURE
+    parts = ["m0 as (" + " union all ".join(
+        f"select {i} as comp, {float(w)} as weight, {float(mu[0])} as mu0, {float(mu[1])} as mu1, {float(v[0][0])} as s00, "
+        f"{float(v[0][1])} as s01, {float(v[1][1])} as s11" for i, (w, mu, v) in enumerate(zip(m.weights, m.mu, m.sigma))) + ")"]
+    for t in range(1, n + 1):
+        parts.append(f"""p{t} as (select key, n0, n1, comp, 2.220446049250313e-16 + weight * exp(-0.5 * (
+    s11 * (n0 - mu0) * (n0 - mu0) - 2 * s01 * (n0 - mu0) * (n1 - mu1) + s00 * (n1 - mu1) * (n1 - mu1))
+    / (s00 * s11 - s01 * s01)) / (2.0 * pi() * sqrt(s00 * s11 - s01 * s01)) as p from enc cross join m{t - 1}),
+e{t} as (select *, p / sum(p) over (partition by key) as r, sum(p) over (partition by key) as t from p{t}),
+m{t} as (select comp, sum(r) / count(*) as weight, sum(r * n0) / sum(r) as mu0, sum(r * n1) / sum(r) as mu1,
+  sum(r * n0 * n0) / sum(r) - pow(sum(r * n0) / sum(r), 2) as s00,
+  sum(r * n0 * n1) / sum(r) - sum(r * n0) / sum(r) * (sum(r * n1) / sum(r)) as s01,
+  sum(r * n1 * n1) / sum(r) - pow(sum(r * n1) / sum(r), 2) as s11, sum(ln(t)) as loglik from e{t} group by comp)""")
+    return ",\n".join(parts)
+
+
+ORACLE["mixture_em"] = f"""with {ORDERS}, {em_iterations(3)}
+select cast(comp as integer) as comp, {', '.join(f'{r6(c)} as {c}' for c in ('weight', 'mu0', 'mu1', 's00', 's01', 's11'))},
+  cast(3 as integer) as iterations, round(loglik, 3) as loglik from m3"""
+
+MOMENTS = f"""select {r6('1.0')} as weight, {r6('avg(n0)')} as mean0, {r6('avg(n1)')} as mean1,
+  {r6('avg(n0 * n0)')} as m00, {r6('avg(n0 * n1)')} as m01, {r6('avg(n1 * n1)')} as m11"""
+
+ORACLE["mixture_moments"] = f"with {ORDERS} {MOMENTS} from enc"
+
+ORACLE["mixture_retry"] = f"with {ORDERS} {MOMENTS}, cast(1 as integer) as failures from enc"
+
 # ---- scoring ---------------------------------------------------------------------------------
 
 ORACLE["score_categorical"] = f"""{EVENT_SCORES} select key, {r6('score_cat')} as score_cat from sc"""

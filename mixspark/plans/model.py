@@ -55,14 +55,16 @@ def fit(view: DataFrame, params: lg.LogisticParams | None = None, k: int = 4,
         solver: str = "auto", init_cov: str = "std", floor: float = 1e-9, weighted: bool = False,
         train_on: str = "all", prof: Profile | None = None,
         encoding: str = "onehot", handle_unseen: str = "error", slots: str = "random",
-        init: str = "uniform", loose: bool = False) -> MixedModel:
+        init: str = "uniform", loose: bool = False, deviation: str = "rms") -> MixedModel:
     """Fit on a mixed view. Two passes over the data: one for the profile, one that draws the
     minibatches and the mixture's sample together; all later work is on those bounded draws.
 
     ``handle_unseen="zero"`` lets null categories, and those outside a given profile, set no slot.
-    ``loose`` takes the looser slot widths. The mixture is fitted on its sample, whose size follows
-    from ``k`` and ``anomaly_ratio`` and not from the table; ``solver="aggregate"`` fits it by
-    distributed iterations too, "auto" and "pooled" in one task."""
+    ``loose`` takes the looser slot widths. The mixture's sample has about as many rows as ``k`` and
+    ``anomaly_ratio`` ask for, at most the table's. Weights and mixture are fitted over all tasks, each in one
+    job of many rounds ("auto", "barrier") or a job per round ("aggregate", and "auto" where a session
+    cannot run its tasks at once or they cannot hold the rows); "pooled" runs the weights' steps in one task.
+    All give the same model."""
     if train_on not in ("all", "normal"):
         raise ValueError("train_on must be 'all' or 'normal'")
     params = params or lg.LogisticParams()
@@ -94,12 +96,12 @@ def fit(view: DataFrame, params: lg.LogisticParams | None = None, k: int = 4,
         sample = taken.where(in_mixture)
         if d == 0:
             mixture = None
-        elif solver != "aggregate":
-            rows = sample.select(F.lit(0).alias("grp"), F.lit(k).alias("k"), "nums")
-            row = mx.fit_grouped(rows, seed, init_cov, floor).first()
-            mixture = mx.mixture_from_row(row, d)
         else:
-            mixture = mx.fit_mixture(sample, k, seed, init_cov, floor)[0]
+            rows = sample.select(
+                F.lit(0).alias("grp"), F.lit(k).alias("k"), mx.draw_of(F.col("key"), seed).alias("u"), "nums")
+            options = mx.FitOptions(init_cov, deviation, floor)
+            together = {"aggregate": False, "barrier": True}.get(solver)
+            mixture = mx.fit_mixtures(rows, [(0, k)], d, n * mix_f, options, one_job=together)[0, k].mixture
     finally:
         taken.unpersist()
     return MixedModel(prof, trained.w, mixture, params.lam, weighted, floor, trained)

@@ -270,7 +270,7 @@ def sgd_history(spark, d):
 
 def sgd_weights(spark, d):
     e, p = _encoded(mv_events(spark, d))
-    t = lg.train(e, p.n, p.d, p.slots, lg.LogisticParams(), 4, 200, SEED, solver="pooled")
+    t = lg.train(e, p.n, p.d, p.slots, lg.LogisticParams(), 4, 200, SEED)
     out = lg.weights_frame(spark, t.w, p.d, p.offsets, p.widths)
     return out.select("idx", "name", rounded("w").alias("w"))
 
@@ -283,18 +283,25 @@ def kmeans_assign(spark, d):
 
 
 def cluster_deviation(spark, d):
+    """Both forms of the deviation."""
     e, _ = _encoded(mv_orders(spark, d))
-    dev = mx.cluster_deviation(mx.assign(e, CENTRES), CENTRES)
-    return dev.select("comp", "n", F.posexplode("dev").alias("dim", "dev")).withColumn(
-        "dev", rounded("dev"))
+    near = mx.assign(e, CENTRES)
+    rms, summed = (mx.cluster_deviation(near, CENTRES, form).select(
+        "comp", "n", F.posexplode("dev").alias("dim", form)) for form in mx.DEVIATIONS)
+    return rms.join(summed.drop("n"), ["comp", "dim"]).select(
+        "comp", "n", "dim", rounded("rms").alias("dev"), F.round("summed", 9).alias("summed"))
 
 
 def initial_mixture(spark, d):
+    """Both forms of the first covariances."""
     e, _ = _encoded(mv_orders(spark, d))
-    m = mx.mixture_frame(spark, mx.initial_mixture(e, CENTRES))
-    return m.select("comp", "weight", F.posexplode("mu").alias("dim", "mu"), "sigma").select(
-        "comp", rounded("weight").alias("weight"), "dim", "mu",
-        rounded(F.col("sigma")[F.col("dim")][F.col("dim")]).alias("variance"))
+    rms, summed = (mx.mixture_frame(spark, mx.initial_mixture(e, CENTRES, deviation=form)).select(
+        "comp", "weight", F.posexplode("mu").alias("dim", "mu"), "sigma").select(
+        "comp", "weight", "dim", "mu", F.col("sigma")[F.col("dim")][F.col("dim")].alias(form))
+        for form in mx.DEVIATIONS)
+    return rms.join(summed.select("comp", "dim", "summed"), ["comp", "dim"]).select(
+        "comp", rounded("weight").alias("weight"), "dim", "mu", rounded("rms").alias("variance"),
+        F.round("summed", 9).alias("variance_summed"))
 
 
 def em_step(spark, d):
@@ -304,20 +311,61 @@ def em_step(spark, d):
         F.round("loglik", 4).alias("loglik"))
 
 
+def _centres(spark, centres):
+    return spark.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(centres)], "comp int, centre array<double>")
+
+
 def kmeans_fit(spark, d):
     e, _ = _encoded(mv_embed(spark, d))
-    sample = e.select("nums").persist()
-    centres = mx.kmeans(sample, 4, SEED)
-    sample.unpersist()
-    return spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(centres)],
-        "comp int, centre array<double>")
+    return _centres(spark, mx.kmeans(e, 4, SEED))
+
+
+def kmeans_small(spark, d):
+    """The same algorithm in two dimensions, three mean updates."""
+    e, _ = _encoded(mv_orders(spark, d))
+    out = _centres(spark, mx.kmeans(e, 3, SEED, max_iter=3))
+    return out.select("comp", F.posexplode("centre").alias("dim", "x")).withColumn("x", rounded("x"))
 
 
 def mixture_fit(spark, d):
     e, _ = _encoded(mv_embed(spark, d))
-    m, _, _ = mx.fit_mixture(e, 4, SEED, floor=1e-9)
-    return mx.mixture_frame(spark, m)
+    return mx.mixture_frame(spark, mx.fit_mixture(e, 4, SEED, floor=1e-9).mixture)
+
+
+def mixture_em(spark, d):
+    """Three EM iterations from given components."""
+    e, _ = _encoded(mv_orders(spark, d))
+    fit = mx.fit_mixture(e, 3, SEED, start=PAIR_MIXTURE, max_iter=3, tol=0.0)
+    m = mx.mixture_frame(spark, fit.mixture)
+    return m.select(
+        "comp", rounded("weight").alias("weight"), *[rounded(F.col("mu")[j]).alias(f"mu{j}") for j in (0, 1)],
+        *[rounded(F.col("sigma")[i][j]).alias(f"s{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))],
+        F.lit(fit.iterations).alias("iterations"), F.round(F.lit(float(fit.loglik)), 3).alias("loglik"))
+
+
+def _moments(spark, fit):
+    """Mean and second moments of a mixture, which any M-step makes those of the rows."""
+    m, rows = mx.mixture_frame(spark, fit.mixture), []
+    w, mu, sigma = F.col("weight"), F.col("mu"), F.col("sigma")
+    rows = [F.sum(w * mu[j]).alias(f"mean{j}") for j in (0, 1)]
+    rows += [F.sum(w * (sigma[i][j] + mu[i] * mu[j])).alias(f"m{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))]
+    return m.agg(rounded(F.sum(w)).alias("weight"), *rows).select(
+        "weight", *[rounded(c).alias(c) for c in ("mean0", "mean1", "m00", "m01", "m11")])
+
+
+def mixture_moments(spark, d):
+    """A whole fit, from its own start to the end of EM."""
+    e, _ = _encoded(mv_orders(spark, d))
+    return _moments(spark, mx.fit_mixture(e, 3, SEED, floor=1e-9))
+
+
+def mixture_retry(spark, d):
+    """A first start without any variance fails; the next attempt, with its own start, succeeds."""
+    e, _ = _encoded(mv_orders(spark, d))
+    singular = mx.Mixture(np.ones(1), np.zeros((1, 2)), np.zeros((1, 2, 2)))
+    fit = mx.fit_mixture(e, 2, SEED, start=singular)
+    return _moments(spark, fit).withColumn("failures", F.lit(len(fit.failures)))
 
 
 # ---- scoring ---------------------------------------------------------------------------------
@@ -665,7 +713,8 @@ QUERIES = {f.__name__: f for f in (
     discrete_combinations, onehot_slots, indicator_passthrough, bias_slot, set_category, row_text,
     masked_all, masked_random, normal_rows, minibatch_sample, mixture_sample, training_draws,
     init_weights, lr_schedule, gradient_step, gradient_full, weight_update, sgd_history, sgd_weights,
-    kmeans_assign, cluster_deviation, initial_mixture, em_step, kmeans_fit, mixture_fit,
+    kmeans_assign, cluster_deviation, initial_mixture, em_step, kmeans_fit, kmeans_small,
+    mixture_fit, mixture_em, mixture_moments, mixture_retry,
     score_categorical, score_gaussian, score_joint, score_lineitem, threshold_exact,
     threshold_approx, threshold_rank, score_minmax, flag_fixed, anomalies, auroc, auroc_ties, auroc_events,
     fold_assign, fold_sizes, cv_scores, cv_means, best_params, param_grid, run_timing, cv_job,

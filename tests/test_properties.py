@@ -133,9 +133,10 @@ def test_solvers_agree(spark, minibatch):
     p = pf.profile(v)
     e = en.encode(v, p)
     run = [lg.train(e, p.n, p.d, p.slots, lg.LogisticParams(), 8, minibatch, 2, solver=s)
-           for s in ("pooled", "aggregate")]
-    assert np.allclose(run[0].w, run[1].w, atol=1e-12)
-    assert np.allclose([h[1:] for h in run[0].history], [h[1:] for h in run[1].history])
+           for s in ("pooled", "aggregate", "barrier", "auto")]
+    for other in run[1:]:
+        assert np.allclose(run[0].w, other.w, atol=1e-12)
+        assert np.allclose([h[1:] for h in run[0].history], [h[1:] for h in other.history])
     assert len(run[0].history) == 7
 
 
@@ -216,18 +217,6 @@ def blobs(spark, d=2):
     return x, spark.createDataFrame([(row.tolist(),) for row in x], "nums array<double>")
 
 
-@pytest.mark.parametrize("d", [1, 2, 5])
-def test_em_paths_agree(spark, d, monkeypatch):
-    x, df = blobs(spark, d)
-    m = mx.initial_mixture(df, x[[0, 200, 400]])
-    runs = []
-    for terms in (1000, 0):
-        monkeypatch.setattr(mx, "EM_TERMS", terms)
-        runs.append(mx.em_statistics(df, m))
-    for a, b, c in zip(*runs, mx.em_batch(x, m)):
-        assert np.allclose(a, b, rtol=1e-9) and np.allclose(a, c, rtol=1e-9)
-
-
 def test_em_against_the_library(spark):
     from pyspark.mllib.clustering import GaussianMixture
     from pyspark.mllib.linalg import DenseMatrix, Vectors
@@ -242,7 +231,7 @@ def test_em_against_the_library(spark):
                      for u, s in zip(start.mu, start.sigma)]
 
     lib = GaussianMixture.train(spark.sparkContext.parallelize(x.tolist(), 2), 3, initialModel=Start)
-    m, _, _ = mx.run_em(lambda c: mx.em_statistics(df, c), start)
+    m = mx.fit_mixture(df, 3, start=start).mixture
     assert np.allclose(m.weights, lib.weights, atol=1e-6)
     assert np.allclose(m.mu, [g.mu.toArray() for g in lib.gaussians], atol=1e-6)
     assert np.allclose(m.sigma, [g.sigma.toArray() for g in lib.gaussians], atol=1e-6)
@@ -250,10 +239,9 @@ def test_em_against_the_library(spark):
 
 def test_fits_find_the_blobs(spark):
     x, df = blobs(spark)
-    m, _, _ = mx.fit_mixture(df, 3, 1)
+    m = mx.fit_mixture(df, 3, 1).mixture
     assert np.allclose(np.sort(m.mu[:, 0]), [0, 2, 5], atol=0.1)
-    b, _, _ = mx.fit_batch(x, 3, 1)
-    assert np.allclose(np.sort(b.mu[:, 0]), [0, 2, 5], atol=0.1)
+    assert np.allclose(np.sort(mx.kmeans(df, 3, 1)[:, 0]), [0, 2, 5], atol=0.1)
 
 
 def test_initial_mixture_covariance_and_empty_clusters(spark):
@@ -272,7 +260,7 @@ def test_singular_covariance():
     with pytest.raises(ValueError):
         mx.Mixture(np.ones(1), np.zeros((1, 2)), np.zeros((1, 2, 2))).roots()
     with pytest.raises(RuntimeError, match="attempts"):
-        mx.fit_batch(np.zeros((10, 2)), 2, 0)
+        mx.fit_batch(np.zeros((10, 2)), np.linspace(0, 0.9, 10), 2)
 
 
 def test_density_paths_agree(spark, monkeypatch):
