@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from mixspark.functions.expr import constants, dot, horner, total
 from mixspark.functions.rand import first_hit, uniform, uniform_int, uniform_value
-from mixspark.operators.encode import masked_all
 from mixspark.operators.rounds import Rounds, run, tasks_for
 from mixspark.operators.sample import draw_steps, minibatch_fraction, steps_to_draw
 
@@ -262,6 +261,55 @@ def gradient_rows(masked: DataFrame, w, d: int, lam: float = 1.0) -> DataFrame:
     )
 
 
+def gradient_all(encoded: DataFrame, w, d: int, lam: float = 1.0) -> DataFrame:
+    """The mean gradient over all slots of every row, as (idx, grad, n) rows, n counting the slots.
+
+    A slot that is not set pulls by its sigmoid, a set one by its sigmoid minus 1. So the sums are those of
+    the sigmoids, slot by slot, less a count of the set slots: one aggregate over the rows as they are, where
+    a task hands over d + D sums. Wide encodings are summed by numpy in Arrow batches."""
+    size = len(w)
+    slots = size - d
+    if slots > UNROLL_SLOTS or d > UNROLL_NUMS:
+        parts = _gradient_all_wide(encoded, w, d, lam)
+    else:
+        table = constants([float(x) for x in w])
+        rows = encoded.withColumn("__m", total([F.col("nums")[j] * table[j] for j in range(d)]))
+        pull = {f"__s{i}": 1.0 / (1.0 + F.exp((F.col("__m") + table[d + i]) * F.lit(-1.0 / lam))) for i in range(slots)}
+        rows = rows.withColumns(pull).withColumn("__set", F.array_compact("slots"))
+        all_pulls = total([F.col(c) for c in pull]) - F.size("__set")
+        rows = rows.withColumn("__all", all_pulls)
+        sums = rows.agg(
+            F.count("*").alias("n"),
+            F.array(*[F.sum(F.col("nums")[j] * F.col("__all")) for j in range(d)],
+                    *[F.sum(F.col(c) - F.array_contains("__set", i).cast("int")) for i, c in enumerate(pull)]).alias("g"))
+        parts = sums.select("n", F.posexplode("g").alias("idx", "g"))
+    masked = F.col("n") * slots
+    return parts.select("idx", (F.col("g") / masked).alias("grad"), masked.cast("bigint").alias("n"))
+
+
+def _gradient_all_wide(encoded: DataFrame, w, d: int, lam: float) -> DataFrame:
+    weights = np.asarray(w, dtype=float)
+
+    def partials(batches):
+        n, sums = 0, np.zeros(len(weights))
+        for pdf in batches:
+            x = np.array(pdf["nums"].tolist(), dtype=float).reshape(len(pdf), d)
+            with np.errstate(over="ignore"):
+                pull = 1.0 / (1.0 + np.exp(-((x @ weights[:d])[:, None] + weights[None, d:]) / lam))
+            for row, slots in enumerate(pdf["slots"]):
+                at = np.array([s for s in slots if s is not None and s == s], dtype=int)
+                pull[row, at] -= 1.0
+            n += len(pdf)
+            sums[d:] += pull.sum(axis=0)
+            sums[:d] += x.T @ pull.sum(axis=1)
+        yield pd.DataFrame({"idx": np.arange(-1, len(weights)), "g": np.concatenate([[n], sums])})
+
+    parts = encoded.select("nums", "slots").mapInPandas(partials, "idx int, g double").groupBy("idx").agg(
+        F.sum("g").alias("g"))
+    n = parts.where("idx = -1").select(F.col("g").cast("bigint").alias("n"))
+    return parts.where("idx >= 0").crossJoin(F.broadcast(n))
+
+
 # ---- numpy forms, used inside tasks and on small sums ------------------------------------------
 
 def pull_batch(x, slot, z, w, d, lam):
@@ -488,15 +536,15 @@ def train_together(pool: DataFrame, w0: dict[int, np.ndarray], d: int, params: l
     return run(fit, pool, fit.load, tasks, rows * 8 * (d + 4), message, one_job).trained()
 
 
-def train_by_steps(step_rows, w0, d: int, params: LogisticParams, max_steps: int,
+def train_by_steps(gradient_of, w0, d: int, params: LogisticParams, max_steps: int,
                    slots_drawn: int) -> Trained:
-    """One aggregate job per step. ``step_rows(i)`` gives the masked rows of drawn step i, so a
-    minibatch may be any size up to the whole table; the driver holds only the weights."""
+    """One aggregate job per step. ``gradient_of(i, w)`` gives the mean gradient of drawn step i and its
+    rows, so a minibatch may be any size up to the whole table; the driver holds only the weights."""
     w, log, stop, done = np.asarray(w0, dtype=float), [], Stopper(1), 0
     for i in range(1, slots_drawn + 1):
         if done >= max_steps or not stop.active()[0]:
             break
-        grad, n = gradient(step_rows(i), w, d, params.lam)
+        grad, n = gradient_of(i, w)
         if n == 0:
             continue
         done += 1
@@ -536,10 +584,13 @@ def train(encoded: DataFrame, n: int, d: int, n_slots: int, params: LogisticPara
     if slots == "all":
         base = encoded.persist()
 
-        def rows_of(i):
+        def gradient_of(i, w):
             picked = base if f >= 1 else base.where(
                 uniform(F.col("key"), "mb", seed, 0, i, "all") < f)
-            return masked_all(picked, n_slots)
+            grad, n = np.zeros(len(w)), 0
+            for r in gradient_all(picked, w, d, params.lam).collect():
+                grad[r["idx"]], n = r["grad"] or 0.0, r["n"]
+            return grad, n
     elif pool_fits(drawn, f):
         pool = draw_pool(encoded, n_slots, drawn, f, seed) if pool is None else pool
         together = {"auto": None, "aggregate": False, "barrier": True}[solver]
@@ -548,10 +599,10 @@ def train(encoded: DataFrame, n: int, d: int, n_slots: int, params: LogisticPara
         # Minibatches that add up to many times the table: draw from the rows step by step.
         base = encoded.select("key", "nums", "slots").persist()
 
-        def rows_of(i):
-            return _direct_step(base, n_slots, f, seed, i)
+        def gradient_of(i, w):
+            return gradient(_direct_step(base, n_slots, f, seed, i), w, d, params.lam)
     try:
-        return train_by_steps(rows_of, w0, d, params, steps, drawn)
+        return train_by_steps(gradient_of, w0, d, params, steps, drawn)
     finally:
         base.unpersist()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixspark.functions.rand import uniform
@@ -108,37 +108,33 @@ GRID = 1000
 ACCURACY = 2000
 
 
-def kth_lowest(df: DataFrame, col: str, rank, small: int = 100_000) -> tuple:
+def bracket(c: Column, bad: bool = True) -> list[Column]:
+    """Aggregates a search for a rank begins with: rows, quantiles and, unless ``bad`` is off, unusable values."""
+    probs = np.linspace(0.0, 1.0, GRID + 1)
+    out = [F.count("*").alias("n"), F.percentile_approx(c, F.lit(probs), ACCURACY).alias("q")]
+    return out + [F.count_if(c.isNull() | F.isnan(c.cast("double"))).alias("bad")] * bad
+
+
+def kth_lowest(df: DataFrame, col: str, rank, small: int = 100_000, first: dict | None = None) -> tuple:
     """Exact k-th lowest value of a numeric column as (value, k, rows); ``rank`` is k or a function
     of the row count. Values that are null or not a number have no rank: they are an error.
 
     Each pass is one aggregate with partial aggregation: quantile sketches cut the bracket that holds
     the rank by a factor of a few hundred, until its distinct values fit on the driver. The table
-    is never sorted, whatever k is.
-    """
+    is never sorted, whatever k is. ``first`` has the values of ``bracket`` where they are known. Later passes
+    filter by the bracket's upper end, so files with sorted values are read in part."""
     c = F.col(col)
-    lo = hi = n = k = size = None
-    probs = np.linspace(0.0, 1.0, GRID + 1)
-    while size is None or size > small:
-        inside = F.lit(True)
-        if lo is not None:
-            inside = inside & (c >= lo)
-        if hi is not None:
-            inside = inside & (c <= hi)
-        row = df.agg(
-            (F.count_if(c < lo) if lo is not None else F.lit(0)).alias("below"),
-            F.count_if(inside).alias("n"),
-            F.percentile_approx(F.when(inside, c), F.lit(probs), ACCURACY).alias("q"),
-            F.count_if(c.isNull() | F.isnan(c.cast("double"))).alias("bad"),
-        ).first()
-        if n is None:
-            if row["bad"]:
-                raise ValueError(f"{row['bad']} values of {col} are missing or not a number")
-            n = row["n"]
-            k = rank(n) if callable(rank) else rank
-            if not 1 <= k <= n:
-                raise ValueError(f"rank {k} is outside 1..{n}")
-        p, q = (k - row["below"]) / row["n"], row["q"]
+    row = first or df.agg(*bracket(c)).first().asDict()
+    if row["bad"]:
+        raise ValueError(f"{row['bad']} values of {col} are missing or not a number")
+    n = row["n"]
+    k = rank(n) if callable(rank) else rank
+    if not 1 <= k <= n:
+        raise ValueError(f"rank {k} is outside 1..{n}")
+    lo = hi = None
+    below, size = 0, n
+    while True:
+        p, q = (k - below) / row["n"], row["q"]
         i = max(0, int(np.floor((p - 2.0 / ACCURACY) * GRID)))
         j = min(GRID, int(np.ceil((p + 2.0 / ACCURACY) * GRID)))
         lo = q[i] if i > 0 or lo is None else lo
@@ -146,25 +142,35 @@ def kth_lowest(df: DataFrame, col: str, rank, small: int = 100_000) -> tuple:
         before, size = size, row["n"] * (j - i + 1) / GRID
         if isinstance(lo, int):  # sketches hold doubles: large integers come back rounded
             lo, hi = lo - (abs(lo) >> 52), hi + (abs(hi) >> 52)
-        if lo == hi or (before is not None and size > before / 2):
+        if lo == hi or size <= small or (before < n and size > before / 2):
             break
+        inside = c >= F.lit(lo)
+        row = df.where(c <= F.lit(hi)).agg(
+            F.count_if(~inside).alias("below"), F.count_if(inside).alias("n"),
+            bracket(F.when(inside, c), bad=False)[1]).first().asDict()
+        below = row["below"]
+        if not row["n"]:
+            break  # a sketch outside its error bound
     while True:
-        side = F.when(c < lo, 0).when(c <= hi, 1).otherwise(2).alias("side")
-        counts = df.select(side, F.when((c >= lo) & (c <= hi), c).alias("v")).groupBy("side", "v")
-        rows = counts.agg(F.count("*").alias("n")).orderBy("side", "v").limit(small + 3).collect()
+        side = F.when(c < lo, 0).otherwise(1).alias("side")
+        near = df if hi == INF else df.where(c <= F.lit(hi))
+        counts = near.select(side, F.when(c >= lo, c).alias("v")).groupBy("side", "v")
+        rows = counts.agg(F.count("*").alias("n")).orderBy("side", "v").limit(small + 2).collect()
         seen, last = 0, None
         for r in rows:
-            seen += r["n"]
-            if seen >= k:
+            if seen + r["n"] >= k:
                 break
+            seen += r["n"]
             last = r
-        if r["side"] == 1 and seen >= k:
+        else:
+            r = None
+        if r is not None and r["side"] == 1:
             return r["v"], k, n
-        if r["side"] == 0 and seen >= k and lo != -INF:
+        if r is not None and lo != -INF:
             lo = -INF  # a sketch outside its error bound
-        elif r["side"] == 2 and hi != INF:
+        elif r is None and len(rows) < small + 2 and hi != INF:
             hi = INF
-        elif r["side"] != 1 or last is None or last["v"] == lo:
-            raise RuntimeError(f"no value of {col} has rank {k}")
-        else:
+        elif r is None and last is not None and last["side"] == 1 and last["v"] != lo:
             lo = last["v"]  # more distinct values than fit: go on from the last one
+        else:
+            raise RuntimeError(f"no value of {col} has rank {k}")

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from mixspark.operators.ordered import kth_lowest
+from mixspark.operators.ordered import bracket, kth_lowest
+from mixspark.sources.scratch import stored
+
+
+@dataclass
+class Scored:
+    """Scored rows in files, ascending by score in each, and what the search for a rank begins with."""
+
+    rows: DataFrame
+    first: dict
+    col: str = "score"
+
+    def threshold(self, ratio: float) -> tuple[float, int, int]:
+        """(threshold, rank, rows): the score of the last row within the ratio."""
+        return kth_lowest(self.rows, self.col, lambda n: target_rank(n, ratio), first=self.first)
+
+
+def scored_once(scored: DataFrame, col: str = "score") -> Scored:
+    """Compute and write the scores in one pass that also takes their quantiles. Whatever asks for low
+    scores afterwards reads only the row groups that hold some."""
+    seen = Observation()
+    watched = scored.observe(seen, *bracket(F.col(col)))
+    rows = stored(watched.sortWithinPartitions(col), "scored")
+    return Scored(rows, seen.get, col)
 
 
 def target_rank(n: int, ratio: float) -> int:

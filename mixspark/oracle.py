@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from mixspark import queries as q
 from mixspark.operators.mixture import OVERSAMPLING, TURN
+from mixspark.operators.sample import mixture_target
+from mixspark.plans.search import SEARCH_RATIO
 
 S = q.SEED
 TWO52 = "4503599627370496.0"
@@ -542,8 +544,8 @@ GRID = f"""gd as (select cast(row_number() over (order by k, reg, lr_speed) - 1
 ORACLE["param_grid"] = f"""with {DOCS}, {SIZES}, {GRID} select gd.*, sz.* from gd cross join sz"""
 
 ORACLE["run_timing"] = f"""with {DOCS}, {SIZES}, {GRID}
-select count(*) as fits, {r6('sum(n_test / 1000.0)')} as total_seconds,
-  {r6('avg(n_test / 1000.0)')} as mean_seconds from gd cross join sz"""
+select count(*) as fits, {r6('sum(n_test / 1000.0)')} as total_thousands,
+  {r6('avg(n_test / 1000.0)')} as mean_thousands from gd cross join sz"""
 
 # ---- sources and sinks -----------------------------------------------------------------------
 
@@ -714,3 +716,102 @@ ORACLE["conditional_resample"] = f"""with {ORDERS}, cf as (select key, c1, {cand
   {candidate(0)} + {candidate(1)} as f1, {candidate(0)} + {candidate(1)} + {candidate(2)} as f2,
   {u('key', quote('resample'), 0, S)} as u from enc)
 select key, cast(case when u * f2 < f0 then 0 when u * f2 < f1 then 1 else 2 end as integer) as c0, c1 from cf"""
+
+# ---- whole jobs at small settings ------------------------------------------------------------
+
+COMBOS = "cb as (select * from (values " + ", ".join(
+    f"({i}, {r})" for i, r in enumerate(q.SMALL_SEARCH["reg"])) + ") t(combo, reg))"
+
+
+def descent(pre: str, rows: str, start: str, steps: int = 2) -> str:
+    """CTEs {pre}w0..: weights (combo, g, idx, w) after each step over all rows (g, key, n0, n1, s0, s1, D)."""
+    parts = [f"""{pre}w0 as materialized (select combo, g, cast(i as integer) as idx, {start} - 0.5 as w
+  from cb, (select distinct g, D from {rows}), lateral (select unnest(generate_series(0, 1 + D)) as i))"""]
+    for t in range(1, steps + 1):
+        parts.append(f"""{pre}d{t} as materialized (select *, case when slot = s0 or slot = s1 then 1.0 else -1.0 end as z from (
+  select *, cast(floor({u('key', quote('slot'), S, 'g', t)} * D) as integer) as slot from {rows})),
+{pre}p{t} as materialized (select v.combo, r.g, n0, n1, slot, -z / (1.0 + exp(z * (n0 * a.w + n1 * b.w + v.w))) as pull
+  from {pre}d{t} r join {pre}w{t - 1} v on v.g = r.g and v.idx = slot + 2
+  join {pre}w{t - 1} a on a.g = r.g and a.combo = v.combo and a.idx = 0
+  join {pre}w{t - 1} b on b.g = r.g and b.combo = v.combo and b.idx = 1),
+{pre}g{t} as (select combo, g, slot + 2 as idx, sum(pull) as s from {pre}p{t} group by all
+  union all select combo, g, 0, sum(pull * n0) from {pre}p{t} group by all
+  union all select combo, g, 1, sum(pull * n1) from {pre}p{t} group by all),
+{pre}w{t} as materialized (select v.combo, v.g, v.idx, v.w - {1.0 / (1.0 + 0.1 * (t - 1))!r} * (coalesce(s, 0.0) / n
+    + 2.0 * reg / sqrt(size) * v.w) as w
+  from {pre}w{t - 1} v join cb using (combo)
+  join (select g, count(*) as n, any_value(D) + 2 as size from {rows} group by g) c on c.g = v.g
+  left join {pre}g{t} s on s.combo = v.combo and s.g = v.g and s.idx = v.idx)""")
+    return ",\n".join(parts)
+
+
+def one_gaussian(name: str, rows: str) -> str:
+    """CTE name(g, m0, m1, s00, s01, s11): the fit of one component to the sample of each set."""
+    rate = f"least(1.0, {mixture_target(1, SEARCH_RATIO)!r} / count(*) over (partition by g))"
+    return f"""{name} as materialized (select g, avg(n0) as m0, avg(n1) as m1, avg(n0 * n0) - pow(avg(n0), 2) + 1e-9 as s00,
+    avg(n0 * n1) - avg(n0) * avg(n1) as s01, avg(n1 * n1) - pow(avg(n1), 2) + 1e-9 as s11
+  from (select *, {rate} as rate from {rows}) where {u('key', quote('mix'), S, 'g')} < rate group by g)"""
+
+
+def grid_scores(name: str, rows: str, weights_: str, mixture: str) -> str:
+    """CTE name(combo, g, key, label, score) of rows under every combination of their set."""
+    return f"""{name} as materialized (select c.combo, c.g, key, label, cat - ln(2.0 * pi()) - 0.5 * ln(s00 * s11 - s01 * s01)
+    - 0.5 * (s11 * (n0 - m0) * (n0 - m0) - 2.0 * s01 * (n0 - m0) * (n1 - m1) + s00 * (n1 - m1) * (n1 - m1))
+      / (s00 * s11 - s01 * s01) as score
+  from (select v.combo, r.g, key, any_value(label) as label, any_value(n0) as n0, any_value(n1) as n1,
+      sum(-ln(1.0 + exp(-(case when v.idx - 2 = s0 or v.idx - 2 = s1 then 1.0 else -1.0 end)
+        * (n0 * a.w + n1 * b.w + v.w)))) as cat
+    from {rows} r join {weights_} v on v.g = r.g and v.idx >= 2
+    join {weights_} a on a.g = r.g and a.combo = v.combo and a.idx = 0
+    join {weights_} b on b.g = r.g and b.combo = v.combo and b.idx = 1 group by v.combo, r.g, key) c
+  join {mixture} m on m.g = c.g)"""
+
+
+SCALED = "(x0 - lo0) / ((hi0 - lo0) + 1e-13) as n0, (x1 - lo1) / ((hi1 - lo1) + 1e-13) as n1"
+
+ORACLE["cv_small"] = f"""with {DOCS}, {COMBOS},
+fo as materialized (select key, c0, c1, x0, x1, label, cast(floor({u('key', quote('fold'), S)} * 2) as integer) as fold from dv),
+lim as (select g, min(x0) as lo0, max(x0) as hi0, min(x1) as lo1, max(x1) as hi1
+  from fo, (select unnest([0, 1]) as g) where fold <> g group by g),
+al as materialized (select key, g, fold, label, {SCALED}, c0 as s0, w0 + c1 as s1, w0 + w1 as D
+  from fo, lim, (select w0, w1 from pr)),
+tr as materialized (select * from al where fold <> g and label = 0),
+te as materialized (select * from al where fold = g),
+{descent('', 'tr', u('i', quote('w'), f"'{S}|' || g"))}, {one_gaussian('mix', 'tr')}, {grid_scores('gs', 'te', 'w2', 'mix')},
+res as (select combo, g as fold, score, 1 - label as p from gs),
+{auroc_sql('res', 'combo, fold')}"""
+
+TUNED = f"""with {DOCS}, {COMBOS}, sp as materialized (select *, {split(0.6, 0.2)} as split from dv),
+lim as (select max(c0) as m0, max(c1) as m1, min(x0) as lo0, max(x0) as hi0, min(x1) as lo1, max(x1) as hi1
+  from sp where split = 'train'),
+al as materialized (select key, 0 as g, split, label, {SCALED}, case when c0 <= m0 then c0 end as s0,
+  case when c1 <= m1 then m0 + 1 + c1 end as s1, m0 + m1 + 2 as D from sp, lim),
+tr as materialized (select * from al where split = 'train' and label = 0),
+te as materialized (select * from al where split = 'dev'),
+{descent('', 'tr', u('i', quote('w'), quote(f'{S}|0')))}, {one_gaussian('mix', 'tr')}, {grid_scores('gs', 'te', 'w2', 'mix')},
+ties as (select combo, score, sum(1 - label) as p, sum(label) as q from gs group by combo, score),
+cum as (select combo, p, q, sum(q) over (partition by combo order by score) - q as below from ties),
+au as (select combo, sum(p * (below + q / 2.0)) / (sum(p)::double * sum(q)) as auroc from cum group by combo),
+hi as (select combo, auroc from au order by auroc desc, combo limit 1),
+lo as (select combo, auroc from au order by auroc, combo limit 1),
+best as (select case when 1.0 - lo.auroc > hi.auroc then lo.combo else hi.combo end as combo,
+  case when 1.0 - lo.auroc > hi.auroc then lo.auroc else hi.auroc end as auroc from hi, lo)"""
+
+ORACLE["tune_small"] = f"""{TUNED},
+every as materialized (select * from al where split = 'train'),
+rest as materialized (select * from al where split = 'test'),
+{descent('r', 'every', u('i', quote('w'), S))}, {one_gaussian('rmix', 'every')}, {grid_scores('rs', 'rest', 'rw2', 'rmix')}
+select key, label, {r6('score')} as score, combo, {r6('auroc')} as dev_auroc from rs join best using (combo)"""
+
+ORACLE["search_report"] = f"""{TUNED}
+select split, count(*) as n, (select count(*) from cb) as fits, true as timed, true as adds_up,
+  (select combo from best) as combo from sp group by split"""
+
+ORACLE["detect_small"] = f"""with {EVENTS}, {sgd(3)}, {SLOTS},
+st as (select avg(n0) as mu, avg(n0 * n0) - pow(avg(n0), 2) + 1e-9 as var from enc
+  where {u('key', quote('mix'), S, 0)} < least(1.0, {mixture_target(1, q.RATIO)!r} / n)),
+cat as (select key, any_value(n0) as n0, sum(-ln(1.0 + exp(-(case when slot = s0 or slot = s1 then 1.0 else -1.0 end)
+    * (n0 * (select w from w3 where idx = 0) + w3.w)))) as score_cat
+  from enc cross join slots join w3 on w3.idx = slot + 1 group by key),
+sc as (select key, score_cat - 0.5 * (ln(2.0 * pi() * var) + (n0 - mu) * (n0 - mu) / var) as score from cat, st), {KTH}
+select key, {r6('score')} as score from sc, kt where score <= t"""

@@ -14,16 +14,21 @@ def flag_rows(model: MixedModel, view: DataFrame, ratio: float = 0.03,
               threshold: float | None = None, method: str = "exact", inclusive: bool = True,
               handle_unseen: str = "zero") -> DataFrame:
     """Score and flag. The threshold is the ``ratio`` rank of the scores, exactly or by sketch,
-    unless a fixed one is given."""
-    # Kept apart, a filter on the flag does not repeat the columns the score is built from.
-    scored = model.transform(view, handle_unseen).withColumn("score", kept_apart(F.col("score")))
-    if threshold is None:
+    unless a fixed one is given. Rows are scored once: where the threshold follows from the scores, the scored
+    rows are written and the flagged ones read back, from the row groups with scores that low."""
+    scored = model.transform(view, handle_unseen)
+    if threshold is not None:
+        # Kept apart, a filter on the flag does not repeat the columns the score is built from.
+        scored = scored.withColumn("score", kept_apart(F.col("score")))
+    else:
+        if method not in ("exact", "approx"):
+            raise ValueError("method must be 'exact' or 'approx'")
+        once = sc.scored_once(scored)
+        scored = once.rows
         if method == "exact":
-            threshold, _, _ = sc.threshold_exact(scored, ratio)
-        elif method == "approx":
-            threshold = sc.threshold_approx(scored, ratio)
+            threshold, _, _ = once.threshold(ratio)
         else:
-            raise ValueError("method must be 'exact' or 'approx'")
+            threshold = sc.threshold_approx(scored, ratio)
     return sc.flag(scored, threshold, inclusive)
 
 

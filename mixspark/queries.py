@@ -248,13 +248,19 @@ def gradient_step(spark, d):
     return rows.select("idx", rounded("grad").alias("grad"), "n")
 
 
+def _gradient_all(spark, d):
+    e, p = _encoded(mv_events(spark, d))
+    w = lg.init_weights(p.d + p.slots, SEED)
+    return lg.gradient_all(e, w, p.d), w, p
+
+
 def gradient_full(spark, d):
-    rows, _, _ = _gradient(spark, d, en.masked_all)
+    rows, _, _ = _gradient_all(spark, d)
     return rows.select("idx", rounded("grad").alias("grad"), "n")
 
 
 def weight_update(spark, d):
-    grad, w, p = _gradient(spark, d, en.masked_all)
+    grad, w, p = _gradient_all(spark, d)
     weights = lg.weights_frame(spark, w, p.d, p.offsets, p.widths)
     out = lg.update_rows(weights, grad, 1.0, 1.0, len(w))
     return out.select("idx", "name", rounded("w").alias("w"), rounded("w_new").alias("w_new"))
@@ -412,9 +418,9 @@ def score_lineitem(spark, d):
 
 
 def threshold_exact(spark, d):
-    scored = _event_scores(spark, d)
-    t, k, n = sc.threshold_exact(scored, RATIO)
-    return scored.agg(F.count_if(F.col("score") <= t).alias("flagged")).select(
+    scored = sc.scored_once(_event_scores(spark, d).select("score"))
+    t, k, n = scored.threshold(RATIO)
+    return scored.rows.agg(F.count_if(F.col("score") <= t).alias("flagged")).select(
         F.lit(n).cast("bigint").alias("n"), F.lit(k).cast("bigint").alias("k"),
         rounded(F.lit(t)).alias("threshold"), "flagged")
 
@@ -526,10 +532,11 @@ def param_grid(spark, d):
 
 
 def run_timing(spark, d):
-    """Total and mean cost of a search's fits, with scored rows as the cost of a fit."""
-    runs = param_grid(spark, d).withColumn("seconds", F.col("n_test") / 1000.0)
-    return ev.timing(runs).select(
-        "fits", *[rounded(c).alias(c) for c in ("total_seconds", "mean_seconds")])
+    """Total and mean of what a search's fits score, in thousands of rows: the sums that the seconds of a
+    search's results are put through (``search_report`` has measured ones)."""
+    runs = param_grid(spark, d).withColumn("scored", F.col("n_test") / 1000.0)
+    return ev.timing(runs, col="scored").select(
+        "fits", rounded("total_seconds").alias("total_thousands"), rounded("mean_seconds").alias("mean_thousands"))
 
 
 def cv_job(spark, d):
@@ -537,6 +544,44 @@ def cv_job(spark, d):
     return search.cross_validate(mv_docs(spark, d), seed=SEED).results
 
 
+#: Settings small enough to be followed in SQL: whole training sets as minibatches, two steps, one component.
+SMALL_SEARCH = dict(max_iterations=3, minibatch=10**9, k=[1], reg=[0.1, 1.0], lr_speed=[0.1])
+
+
+def cv_small(spark, d):
+    """The whole search at small settings."""
+    found = search.cross_validate(mv_docs(spark, d), folds=2, seed=SEED, **SMALL_SEARCH).results
+    return found.select("combo", "fold", rounded("auroc").alias("auroc"), "n_pos", "n_neg")
+
+
+def tune_small(spark, d):
+    """Choice on dev, refit and export of the test rows at small settings."""
+    view = es.split_by_fraction(mv_docs(spark, d), 0.6, 0.2, SEED)
+    report = search.tune(view, SEED, **SMALL_SEARCH)
+    return report.scored.select(
+        "key", "label", rounded("score").alias("score"), F.lit(report.best["combo"]).alias("combo"),
+        rounded(F.lit(report.best["auroc"])).alias("dev_auroc"))
+
+
+def detect_small(spark, d):
+    """The whole job at small settings: three steps, one component."""
+    out = dt.detect(mv_events(spark, d), RATIO, seed=SEED, k=1, max_iterations=4, minibatch=200)
+    return out.select("key", rounded("score").alias("score"))
+
+
+def search_report(spark, d):
+    """A run's report written and read back: rows of each table, and that times add up."""
+    view = es.split_by_fraction(mv_docs(spark, d), 0.6, 0.2, SEED)
+    path = scratch_path(spark, "report")
+    search.tune(view, SEED, **SMALL_SEARCH).write(path)
+    results, best = spark.read.parquet(f"{path}/results"), spark.read.parquet(f"{path}/best")
+    timed = ev.timing(results).select("fits", (F.col("total_seconds") > 0).alias("timed"))
+    spent = best.select("combo", (F.col("seconds") >= F.col("seconds_per_fit")).alias("adds_up"))
+    sizes = spark.read.parquet(f"{path}/sizes").select("split", "n")
+    return sizes.crossJoin(F.broadcast(timed)).crossJoin(F.broadcast(spent)).select(
+        "split", "n", "fits", "timed", "adds_up", F.col("combo").cast("int").alias("combo"))
+
+
 def tune_job(spark, d):
     view = es.split_by_fraction(mv_docs(spark, d), 0.6, 0.2, SEED)
     return search.tune(view, SEED).scored.select("key", "label", "score")
@@ -718,7 +763,7 @@ QUERIES = {f.__name__: f for f in (
     score_categorical, score_gaussian, score_joint, score_lineitem, threshold_exact,
     threshold_approx, threshold_rank, score_minmax, flag_fixed, anomalies, auroc, auroc_ties, auroc_events,
     fold_assign, fold_sizes, cv_scores, cv_means, best_params, param_grid, run_timing, cv_job,
-    tune_job, detect_job, libsvm_roundtrip, split_view, scored_export, group_rows, decaying_binary,
+    cv_small, tune_job, tune_small, search_report, detect_job, detect_small, libsvm_roundtrip, split_view, scored_export, group_rows, decaying_binary,
     rule_match, rule_coverage, rule_coverage_prefix, location_scale, independent_binary,
     dependent_binary, dependent_numeric, draft_rules, category_flip, inject_rows, noise_inject,
     noise_uniform, split_rows, split_position, set_summary, generated_set, conditional_resample,
