@@ -122,3 +122,27 @@ def joined(rows: DataFrame, table: DataFrame, key: str, times: str) -> DataFrame
     hot = F.broadcast(table.where(F.col(times) > limit))
     cold = table.where(F.col(times) <= limit)
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
+#: Bits of a bitmap per repeated digest, and at most (16 MB). A full one only lets more rows through.
+BITS_EACH, BITS_MOST = 64, 1 << 27
+
+
+def marked_among(rows: DataFrame, among: DataFrame, digest: str, n: int, out: str) -> DataFrame:
+    """Add a boolean: surely false where the row's digest (binary, four bytes or more) is not one of the n in
+    ``among``, but for a few. A bitmap of bounded size is broadcast, so no row moves."""
+    bits = 1 << max(15, min(BITS_EACH * n, BITS_MOST).bit_length() - 1)
+    at = F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("bigint") % bits
+    maps = among.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bits"))
+    found = rows.withColumn("__bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "__bucket", "left")
+    found = found.withColumn("__at", F.bitmap_bit_position(at))
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = found.withColumn("__byte", byte)
+    bit = F.expr("shiftright(__byte, cast(__at % 8 as int)) & 1") == 1
+    return found.withColumn(out, F.coalesce(bit, F.lit(False))).drop("__bucket", "__bits", "__at", "__byte")
+
+
+def maybe_among(rows: DataFrame, among: DataFrame, digest: str, n: int) -> DataFrame:
+    """The rows whose digest is in ``among``, and a few others."""
+    return marked_among(rows, among, digest, n, "__maybe").where("__maybe").drop("__maybe")

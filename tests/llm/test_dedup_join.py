@@ -30,10 +30,10 @@ TEXTS = [(1, "Same"), (2, "same"), (3, "SAME"), (4, "Ä"), (5, "ä"), (6, None),
          (None, "same"), (9, " same"), (10, "x" * 200_000), (11, "X" * 200_000)]
 
 
-@pytest.mark.parametrize("salt_rows", [1, 1024])
-def test_dedup_groups(spark, salt_rows):
+@pytest.mark.parametrize("salts", [1, 64])
+def test_dedup_groups(spark, salts):
     rows = TEXTS + [(100 + i, "hot") for i in range(50)]
-    got = {r.doc_id: r for r in dd.exact_dedup(frame(spark, rows), salt_rows=salt_rows).collect()}
+    got = {r.doc_id: r for r in dd.exact_dedup(frame(spark, rows), salts=salts).collect()}
     for i, text in rows:
         same = [j for j, t in rows if low(t) == low(text)]
         want = max(j for j in same if j is not None)
@@ -42,6 +42,26 @@ def test_dedup_groups(spark, salt_rows):
         assert r.text_sha256 == hashlib.sha256(low(text).encode()).hexdigest()
 
 
+def test_texts_are_compared_where_digests_agree(spark):
+    """A digest of one byte: many texts share it, and stay apart."""
+    rows = [(i, f"text {i % 90}") for i in range(400)] + [(1, "text 1"), (None, "text 2")]
+    got = dd.exact_dedup(frame(spark, rows), digest=lambda t: hashlib.sha256(t).digest()[:1] * 4).collect()
+    size = Counter(t for _, t in rows)
+    top = {t: max(i for i, u in rows if u == t and i is not None) for t in size}
+    want = sorted((str(i), top[t], size[t]) for i, t in rows)
+    assert sorted((str(r.doc_id), r.keep_id, r.group_size) for r in got) == want
+    assert sum(r.kept for r in got) == 90
+
+
+def test_dedup_names_may_clash(spark):
+    docs = frame(spark, [(1, "a"), (2, "A"), (3, "b")])
+    for c in ("digest", "row", "salt", "best", "n", "bucket", "bitmap", "body", "sha", "kept", "_dd_sha", "_dd_id", "keep_id"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    kept = dd.kept_rows(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert all(r.digest == "clash" for r in kept.collect())
+
+
 def test_dedup_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a"), (1, "a"), (1, "b"), (2, "B"), (3, "c")]
     got = dd.exact_dedup(frame(spark, rows)).collect()
