@@ -20,12 +20,11 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import joined, values
-from mixspark.sources.scratch import scratch_path, stored
+from mixspark.llm.common import joined, marked_among, values
+from mixspark.sources.scratch import scratch_path, shared_file, stored
 
 #: Bytes of records after which an archive is closed.
 ARCHIVE_BYTES = 32 << 20
@@ -161,37 +160,34 @@ def records_of(source, read_bytes: int = READ_BYTES) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def shared_file(folder: str, name: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a file in a folder given as a path or an address."""
-    if "://" in folder or folder.startswith("file:"):
-        system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
-    else:
-        system, path = fs.LocalFileSystem(), folder
-    return system, f"{path}/{name}"
+# ---- tables --------------------------------------------------------------------------------------
 
+def row_name(mark: str) -> Column:
+    """What the records call a row: a mark, its number and its id, if any."""
+    return F.concat_ws(" ", F.concat(F.lit(mark), F.col("row").cast("string")), F.col("page").cast("string"))
 
-# ---- tables --------------------------------------------------------------------------------------
 
 def with_originals(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(row, page, url, payload, refers): ``refers`` names the row that has the same payload and is written
+    """(name, url, payload, refers): ``refers`` names the row that has the same payload and is written
     whole, and is null for that row itself. It is the one of the largest id (null ids rank lowest); of rows
-    that repeat the id too, one of them."""
+    that repeat the id too, one of them. Only payloads whose digest repeats, and a few others, move."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
+    repeated = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    rows = marked_among(rows, repeated, "key", repeated.count(), "again")
+    number = F.monotonically_increasing_id()
+    alone = rows.where("not again").withColumn("row", number).select(
+        row_name("a").alias("name"), "url", "payload", F.lit(None).cast("string").alias("refers"))
     # Written once, so the row numbers are the same in every later use.
-    rows = stored(rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
-                  .withColumn("row", F.monotonically_increasing_id()), "pages")
-    ids = rows.select("key", "row", "page")
+    copies = stored(rows.where("again").withColumn("row", number), "copies")
+    ids = copies.select("key", "row", "page")
     first = ids.groupBy("key").agg(F.max(F.struct("page", "row")).alias("whole"), F.count("*").alias("times"))
     first = stored(first.where("times > 1").select("key", "times", "whole.row", "whole.page"), "originals")
-    again = joined(ids.select("key", F.col("row").alias("copy")), first, "key", "times").where(
-        "copy <> row").select(F.col("copy").alias("row"), row_name().alias("refers"))
-    return rows.join(again, "row", "left").drop("key")
-
-
-def row_name() -> Column:
-    """What the records call a row: its number and its id, if any."""
-    return F.concat_ws(" ", F.col("row").cast("string"), F.col("page").cast("string"))
+    refers = joined(ids.select("key", F.col("row").alias("copy")), first, "key", "times").where(
+        "copy <> row").select(F.col("copy").alias("row"), row_name("c").alias("refers"))
+    return alone.unionByName(copies.join(refers, "row", "left").select(
+        row_name("c").alias("name"), "url", "payload", "refers"))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
@@ -203,7 +199,6 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     in memory until an archive is full; a longer record is an archive's last one."""
     rows = with_originals(pages, id_col, url_col, payload_col)
     folder = scratch_path(pages.sparkSession, "warc")
-    rows = rows.select(row_name().alias("name"), "url", "payload", "refers")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
