@@ -3,16 +3,18 @@ sampled edges, work inside each bucket, and shift by the totals of the buckets b
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mixspark.functions.rand import uniform
 from mixspark.sources.scratch import stored
 
 INF = float("inf")
 HOT_SHARE = 1.0 / 1024
+HOT_CHARS = 1000
 BUCKET_ROWS = 2_000_000
 
 
@@ -47,57 +49,53 @@ def number_bucket(df: DataFrame, col: str, edges, out: str = "bucket") -> DataFr
     return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
-def value_edges(values: DataFrame, col: str, n_values: int, buckets: int) -> list:
-    """Cut points for any sortable type, from a keyed sample of distinct values."""
-    rate = min(1.0, 16.0 * buckets / max(n_values, 1))
-    rows = values.where(uniform(F.col(col), "edge") < rate).select(col).orderBy(col).collect()
-    step = max(1, len(rows) // buckets)
-    return [r[0] for r in rows[step::step]]
-
-
 def ranked_values(values: DataFrame, col: str, rank: str) -> DataFrame:
-    """Rank from 0 of each row by a column of distinct values, by buckets."""
-    n = values.count()
-    buckets = bucket_count(values, n)
-    edges = value_edges(values, col, n, buckets)
-    if edges:
-        cuts = F.array(*[F.lit(e) for e in edges])
-        bucket = F.size(F.filter(cuts, lambda e: e <= F.col(col)))
-    else:
-        bucket = F.lit(0)
-    cut = values.withColumn("__bucket", bucket)
-    w = Window.partitionBy("__bucket")
-    # At most `buckets` rows: the running total over them is one small task.
-    sizes = cut.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    below = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "__bucket", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below")
-    )
-    inside = cut.withColumn("__rn", F.row_number().over(w.orderBy(col)))
+    """Rank from 0 of each row by a column of distinct values. The rows are sorted in ranges, and a range
+    begins with the number of rows in those before it: one row per range is all that is put in one order."""
+    placed = stored(
+        values.repartitionByRange(col).sortWithinPartitions(col)
+        .withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    below = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).select(
+        "__part", "__first", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__below"))
     return (
-        inside.join(F.broadcast(offsets), "__bucket")
-        .withColumn(rank, F.col("__below") + F.col("__rn") - 1)
-        .drop("__bucket", "__rn", "__below")
+        placed.join(F.broadcast(ranges), "__part")
+        .withColumn(rank, F.col("__below") + F.col("__at") - F.col("__first"))
+        .drop("__part", "__at", "__first", "__below")
     )
 
 
 def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Dense rank from 0 of a column of any cardinality, joined back to the rows. Values that hold
-    more than 1/1024 of the rows (at most 1023 of them) go by broadcast, the rest by shuffle, so
-    no join task gets a hot key. The ranked values are written once to the shared folder."""
+    """Dense rank from 0 of a column of any cardinality, joined back to the rows. A value that holds more
+    than a quarter of an even share of a join task, or 1/1024 of the rows, goes by broadcast (there are fewer
+    of them than four times the tasks, or than 1024; only short ones, so their size is bounded). Of the rest, long
+    values are joined with their rows spread over as many salts as they have shares. The ranked values are written
+    once to the shared folder."""
     keyed = df.withColumn("__v", F.col(col).cast("string"))
     counts = stored(
         keyed.where("__v IS NOT NULL").groupBy("__v").agg(F.count("*").alias("__c")), "values")
     rows = counts.agg(F.sum("__c")).first()[0] or 0
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1.0, rows * min(HOT_SHARE, 1.0 / (4 * tasks)))
     ranked = ranked_values(counts, "__v", out).withColumn(out, F.col(out).cast("int"))
+    frequent = F.col("__c") > F.lit(share)
+    short = F.length("__v") <= HOT_CHARS
     ranked = stored(ranked, "ranks")
-    hot_at = F.lit(HOT_SHARE * rows)
-    hot = F.broadcast(ranked.where(F.col("__c") > hot_at).select("__v", out))
-    cold = ranked.where(F.col("__c") <= hot_at).select("__v", out)
+    hot = F.broadcast(ranked.where(frequent & short).select("__v", out))
+    cold = ranked.where(~(frequent & short))
+    salts = max(1, math.ceil((cold.agg(F.max("__c")).first()[0] or 0) / share))
+    cold = cold.withColumn("__salt", F.explode(F.when(frequent, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(-1))))).select("__v", "__salt", out)
     unknown = keyed.where("__v IS NULL").withColumn(out, F.lit(None).cast("int"))
+    rest = keyed.join(hot, "__v", "left_anti")
+    if salts == 1:
+        found = rest.join(cold.drop("__salt"), "__v")
+    else:  # long values that are frequent: rare, so the rows are looked up under both salts
+        number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+        found = rest.withColumn("__salt", F.explode(F.array(F.lit(-1), number))).join(cold, ["__v", "__salt"])
     return (
         keyed.join(hot, "__v")
-        .unionByName(keyed.join(hot, "__v", "left_anti").join(cold, "__v"))
+        .unionByName(found.drop("__salt"))
         .unionByName(unknown)
         .drop("__v")
     )

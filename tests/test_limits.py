@@ -8,7 +8,8 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from mixspark.operators import category, evaluate as ev, score as sc
-from mixspark.operators.ordered import kth_lowest, value_edges
+from mixspark.operators import ordered
+from mixspark.operators.ordered import kth_lowest, ranked_values
 from mixspark.operators.sample import minibatch_sample
 from mixspark.plans.detect import flag_rows
 from mixspark.plans.model import fit
@@ -78,16 +79,34 @@ def test_siblings_differ_in_the_last_part_only():
     assert libsvm.sibling_path("train.libsvm", "test") == "test.libsvm"
 
 
-def test_libsvm_keys_do_not_depend_on_partitions(spark, tmp_path):
+def test_libsvm_keys_do_not_depend_on_splits(spark, tmp_path):
     rows = [(float(i % 2), i % 3, i % 4) for i in range(40)]
     view = spark.createDataFrame(rows, "label double, a int, b int").select(
         "label", F.array("a").alias("cats"), F.array(F.col("b").cast("double")).alias("nums"))
+    path = str(tmp_path / "set")
+    libsvm.write_libsvm(view.repartition(3), path)
     keys = []
-    for n in (1, 8):
-        libsvm.write_libsvm(view.repartition(n), str(tmp_path / str(n)))
-        got = libsvm.read_libsvm(spark, str(tmp_path / str(n)), 1, 2).collect()
-        keys.append(sorted((r.key, r.label, tuple(r.cats), tuple(r.nums)) for r in got))
-    assert keys[0] == keys[1] and len({k[0] for k in keys[0]}) == 40
+    for split in (1, 7, 10**6):
+        got = libsvm.read_libsvm(spark, path, 1, 2, split)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        keys.append(sorted((r.key, r.label, tuple(r.cats), tuple(r.nums)) for r in got.collect()))
+    assert keys[0] == keys[1] == keys[2] and len({k[0] for k in keys[0]}) == 40
+    assert sorted((k[1], k[2][0], int(k[3][0])) for k in keys[0]) == sorted(rows)
+    assert libsvm.read_libsvm(spark, path, 1).count() == 40
+
+
+def test_lines_of_odd_files(spark, tmp_path):
+    text = b"1 1:2 3:4.5\n\n# note\n0\r\n1 2:-1e3"
+    (tmp_path / "odd").write_bytes(text)
+    for split in (1, 5, 100):
+        got = {r.key: (r.label, list(r.cats), list(r.nums)) for r in libsvm.read_libsvm(
+            spark, str(tmp_path / "odd"), 1, split_bytes=split).collect()}
+        assert got == {":0": (1, [2], [0.0, 4.5]), ":20": (0, [0], [0.0, 0.0]), ":23": (1, [0], [-1000.0, 0.0])}
+    (tmp_path / "bad").write_bytes(b"1 2:1 1:1\n")
+    with pytest.raises(Exception, match="ascend"):
+        libsvm.read_libsvm(spark, str(tmp_path / "bad"), 1, 2).collect()
+    (tmp_path / "none").write_bytes(b"")
+    assert libsvm.read_libsvm(spark, str(tmp_path / "none"), 1, 2).count() == 0
 
 
 def test_long_values_never_reach_the_driver(spark, monkeypatch):
@@ -97,10 +116,20 @@ def test_long_values_never_reach_the_driver(spark, monkeypatch):
     assert category.fit_categories(df.limit(1), ["c"]) == {"c": ["x" * 40]}
 
 
-def test_cut_points_spread_over_all_values(spark):
-    values = spark.range(5000).select(F.col("id").cast("double").alias("v"))
-    edges = value_edges(values, "v", 5000, 8)
-    assert edges == sorted(edges) and edges[-1] > 4000
+def test_ranks_of_values_in_ranges(spark):
+    values = spark.range(5000).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("v"))
+    got = ranked_values(values.repartition(7), "v", "r").collect()
+    assert all(r.v == f"v{r.r:05d}" for r in got) and len(got) == 5000
+    assert ranked_values(values.limit(0), "v", "r").count() == 0
+
+
+def test_frequent_long_values_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_CHARS", 3)
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "frequent").when(F.col("id") % 3 == 1, "hot").otherwise(
+        F.concat(F.lit("w"), F.col("id").cast("string"))).alias("c"))
+    got = {r.id: r.c_idx for r in ordered.dense_index(df, "c", "c_idx").collect()}
+    names = sorted({r.c for r in df.collect()})
+    assert len(got) == 3000 and all(names[got[r.id]] == r.c for r in df.collect())
 
 
 def test_no_rows_give_no_minibatch(spark):
