@@ -14,7 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents that give random and ordinary strings, the first ones by a hash of the id.
+from mixspark.sources.scratch import stored
+
+#: Labelled random strings the model is fitted on, of all distinct ones in the table, and documents that
+#: give ordinary words; the first by their hashes.
 MAX_RANDOM, MAX_ORDINARY = 20_000, 1_000
 VALUE = "[A-Za-z0-9+/_.=-]+"
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|""" \
@@ -34,30 +37,53 @@ LEAST_RATIO = 0.5
 STATES = len(ALPHABET) + 1
 #: Pseudo-counts of the single characters' shares in each row of a model.
 BACKOFF = 30.0
+#: Matches whose places are added up in one array.
+SPAN_BLOCK = 64
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; written out, it would be computed at every use, and
+    inside a lambda for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spans(text: Column, pattern: str, kind: int, values: Column | None = None, keep=None) -> Column:
+    """array<struct<start, kind, end>> of a pattern's matches in code points; ``keep`` filters by the
+    match's entry of ``values``. Time is linear in the text."""
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
 
+    def placed(portion, begin):
+        return F.aggregate(portion, F.struct(begin.alias("at"), none.alias("out")), lambda s, x: F.struct(
+            (s["at"] + x["gap"] + x["len"]).alias("at"),
+            F.concat(s["out"], F.array(F.struct(
+                (s["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"),
+                (s["at"] + x["gap"] + x["len"]).alias("end")))).alias("out")), lambda s: s["out"])
 
-def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
-    """array<struct<start, kind, end>> of a pattern's matches in code points; ``keep`` filters by a
-    group's value (a function of the match's number, from 0)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    # After i gaps and i - 1 matches stands the i-th match.
-    lengths = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(
-        F.length(g).alias("gap"), F.length(m).alias("len")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)").alias("out"))
-    got = F.aggregate(lengths, start, lambda s, x: F.struct(
-        (s["at"] + x["gap"] + x["len"]).alias("at"),
-        F.concat(s["out"], F.array(F.struct(
-            (s["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"),
-            (s["at"] + x["gap"] + x["len"]).alias("end")))).alias("out")), lambda s: s["out"])
-    if keep is not None:
-        got = F.filter(got, keep)
-    return F.when(F.size(found) > 0, got).otherwise(start["out"])
+    def portions(lengths):
+        last = F.floor((F.size(lengths) - 1) / F.lit(SPAN_BLOCK)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda j: F.slice(lengths, j * SPAN_BLOCK + 1, SPAN_BLOCK))
+
+    def begins(parts):
+        return F.aggregate(parts, F.array(F.lit(0)), lambda s, portion: F.concat(s, F.array(
+            F.element_at(s, -1) + F.aggregate(portion, F.lit(0), lambda n, x: n + x["gap"] + x["len"]))))
+
+    def all_of(found):
+        # After i gaps and i - 1 matches stands the i-th match.
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(
+            F.length(g).alias("gap"), F.length(m).alias("len")))
+        # An array grows by copying it. So places are added up block by block, and the blocks put together.
+        got = bound(lengths, lambda n: bound(portions(n), lambda p: bound(
+            begins(p), lambda b: F.flatten(F.zip_with(p, F.slice(b, F.lit(1), F.size(p)), placed)))))
+        if keep is not None:
+            got = bound(values, lambda v: F.filter(got, lambda _, i: keep(F.get(v, i))))
+        return F.when(F.size(found) > 0, got).otherwise(none)
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), all_of)
 
 
 def base_spans(text: Column) -> list[Column]:
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1))
-    return [spans(text, ASSIGN, 0, lambda _, i: F.length(F.get(values, i)) >= LEAST_VALUE),
+    return [spans(text, ASSIGN, 0, values, lambda v: F.length(v) >= LEAST_VALUE),
             spans(text, ACCESS, 1), spans(text, HEX, 2)]
 
 
@@ -101,23 +127,20 @@ def log_transitions(counts: dict[int, int]) -> np.ndarray:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_random: int = MAX_RANDOM,
           max_ordinary: int = MAX_ORDINARY) -> Ratio:
-    """Counts both models on a bounded sample of documents; only pair counts (at most STATES squared)
-    and two medians reach the driver. Without labelled random strings nothing is ever added."""
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-
-    def first(n):
-        some = ids.orderBy(F.xxhash64("id"), "id").limit(n)
-        return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
-            F.broadcast(some), "id").select("text")
-
+    """Counts both models: random strings are distinct values that the fixed patterns match anywhere in the
+    table, at most ``max_random`` of them; ordinary words come from ``max_ordinary`` documents. Only pair counts
+    (at most STATES squared) and two medians reach the driver. Without labelled random strings nothing is ever
+    added."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     secret = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(1)),
                       F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)),
                       F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    random = first(max_random).select(F.lit(1).alias("y"), F.explode(secret).alias("w")).where(
-        F.length("w") >= LEAST_RUN)
-    ordinary = first(max_ordinary)
-    words = ordinary.select(F.lit(0).alias("y"), F.explode(
+    random = texts.select(F.explode(secret).alias("w")).where(F.length("w") >= LEAST_RUN).distinct().orderBy(
+        F.xxhash64("w"), "w").limit(max_random)
+    random = stored(random.select(F.lit(1).alias("y"), "w"), "random")
+    ids = texts.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_ordinary)
+    words = texts.join(F.broadcast(ids), "id").select(F.lit(0).alias("y"), F.explode(
         F.array_distinct(F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0)))).alias("w")).where(
         F.length("w") < LEAST_RUN)  # a longer run may be a secret that no pattern knows
     pairs = random.unionByName(words).select("y", F.explode(bigrams(F.col("w"))).alias("pair")).groupBy(
@@ -146,7 +169,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     text = F.col("text")
     runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
     found = rows.select("doc_id", *[c.alias(k) for c, k in zip(base_spans(text), KINDS)],
-                        spans(text, RUN, 3, lambda _, i: ratio.of(F.get(runs, i)) > ratio.threshold).alias("markov"))
+                        spans(text, RUN, 3, runs, lambda w: ratio.of(w) > ratio.threshold).alias("markov"))
     found = found.withColumn("base", F.concat("assign", "access", "hex"))
     apart = F.filter("markov", lambda m: ~F.exists(
         "base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))

@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -303,3 +305,31 @@ def test_hash_of_no_spans(spark):
     q = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     got = se.scan(q).select(F.sha2(se.named(F.col("base")).cast("binary"), 256).alias("h")).head()
     assert got.h == hashlib.sha256(b"").hexdigest()
+
+
+def test_rare_secrets_still_teach_the_model(spark):
+    """Labelled strings in one document of many are found, and so are random strings that no pattern knows."""
+    r = random.Random(8)
+    chars = string.ascii_letters + string.digits + "+/"
+    value = lambda n: "".join(r.choice(chars) for _ in range(n))
+    rows = [(i, f"ordinary words about number {i} in some_long-file_name or word-list_{i}") for i in range(3000)]
+    rows += [(10_000 + i, f"token={value(32)}") for i in range(60)]
+    planted = {20_000 + i: value(28) for i in range(40)}
+    rows += [(i, f"see {v} there") for i, v in planted.items()]
+    rows += [(30_000 + i, "a long_identifier_of_ordinary_words and configuration-file-for-production") for i in range(40)]
+    got = {g.doc_id: g.added for g in se.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4),
+                                              max_ordinary=200).collect()}
+    assert sum(bool(got[i]) for i in planted) >= 38  # recall on strings outside the patterns
+    assert not any(a for i, a in got.items() if i not in planted)
+
+
+def test_many_matches_in_one_text(spark):
+    n = 20_000
+    text = "".join(f"password=abcdef{i % 7} é " for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "password=abcdefg")], "doc_id long, text string")
+    began = time.time()
+    got = {g.doc_id: g for g in se.scan(docs).select("doc_id", "base").collect()}
+    assert time.time() - began < 60
+    want = [(m.start(), m.end()) for m in re.finditer(r"password=abcdef\d", text)]
+    assert [(b.start, b.end) for b in got[1].base] == want and len(want) == n
+    assert [(b.start, b.end) for b in got[2].base] == [(0, 16)]
