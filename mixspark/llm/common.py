@@ -35,6 +35,14 @@ def body(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores at the end where a column of ``docs`` has one of them."""
+    taken, end = {c.lower() for c in docs.columns}, ""
+    while any((n + end).lower() in taken for n in names):
+        end += "_"
+    return [n + end for n in names]
+
+
 def total_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
 

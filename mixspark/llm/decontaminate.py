@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import body, parts_for, values
+from mixspark.llm.common import body, free_names, parts_for, values
 
 WINDOW = 13
 #: Bytes of benchmark text that one broadcast set is made of; a larger benchmark takes several passes.
@@ -78,32 +78,36 @@ def runs(mask: np.ndarray) -> list[dict]:
     return [{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
 
 
-def scanned(index, rows: list[str]):
+FOUND = ("_dc_words", "_dc_hits", "_dc_items")
+
+
+def scanned(index, rows: list[str], text: str, found: list[str]):
     """A task's work: adds what this slice of the benchmark hits to what earlier slices did."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = index.value
+        words, was_hit, was_in = found
         for b in batches:
             n, hits, items = [], [], []
-            for text, before, had in zip(values(b["_dc_body"]), values(b["_dc_hits"]),
-                                         values(b["_dc_items"])):
-                count, mask, found = windows.scan(text)
+            for line, before, had in zip(values(b[text]), values(b[was_hit]), values(b[was_in])):
+                count, mask, now = windows.scan(line)
                 for r in before:
                     mask[r["first"]:r["last"] + 1] = True
                 n.append(count)
                 hits.append(runs(mask) if mask.any() else [])
-                items.append(sorted(found.union(had)))
-            out = [pa.array(n, pa.int64()), pa.array(hits, b["_dc_hits"].type),
-                   pa.array(items, b["_dc_items"].type)]
+                items.append(sorted(now.union(had)))
+            out = [pa.array(n, pa.int64()), pa.array(hits, b[was_hit].type),
+                   pa.array(items, b[was_in].type)]
             yield pa.RecordBatch.from_arrays(
-                [b[c] for c in rows] + out, [*rows, "_dc_words", "_dc_hits", "_dc_items"])
+                [b[c] for c in rows] + out, [*rows, words, was_hit, was_in])
     return run
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
               item_col: str = "item_id", item_text: str = "text", width: int = WINDOW,
-              slice_bytes: int = SLICE_BYTES) -> DataFrame:
+              slice_bytes: int = SLICE_BYTES, names=FOUND) -> DataFrame:
     """``docs`` with three more columns: _dc_words (number of words), _dc_hits (runs of hit words as
-    array<struct<first,last>>, counted from 0) and _dc_items (the items whose windows occur).
+    array<struct<first,last>>, counted from 0) and _dc_items (the items whose windows occur), or other
+    ``names``.
 
     A null or empty text has no words. Items without words match nothing, items of fewer words than
     the window match as a whole; a null item id is written "null". Repeated rows are judged
@@ -112,9 +116,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     rows = docs.columns
     slices = parts_for(benchmark.agg(F.sum(F.octet_length(item_text))).head()[0] or 0, slice_bytes)
-    out = (docs.withColumn("_dc_body", body(F.col(text_col))).withColumn("_dc_words", F.lit(0).cast("long"))
-           .withColumn("_dc_hits", F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"))
-           .withColumn("_dc_items", F.expr("cast(array() as array<string>)")))
+    [line] = free_names(docs, "_dc_body")
+    words, hits, items = names
+    out = (docs.withColumn(line, body(F.col(text_col))).withColumn(words, F.lit(0).cast("long"))
+           .withColumn(hits, F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)"))
+           .withColumn(items, F.expr("cast(array() as array<string>)")))
     shape = out.schema
     for k in range(slices):
         part = benchmark.where(F.pmod(F.xxhash64(item_text), F.lit(slices)) == k).select(
@@ -122,26 +128,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             body(F.col(item_text)).alias("text"))
         index = spark.sparkContext.broadcast(
             Windows([(r["item"], bytes(r["text"])) for r in part.toLocalIterator()], width))
-        keep = [*rows, "_dc_body"]
+        keep = [*rows, line]
         from_columns = {f.name: f for f in shape}
-        schema = type(shape)([from_columns[c] for c in [*keep, "_dc_words", "_dc_hits", "_dc_items"]])
-        out = out.mapInArrow(scanned(index, keep), schema)
-    return out.drop("_dc_body")
+        schema = type(shape)([from_columns[c] for c in [*keep, *names]])
+        out = out.mapInArrow(scanned(index, keep, line, list(names)), schema)
+    return out.drop(line)
 
 
 def hit_words(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
 
 
-def contaminated(share: int = SHARE) -> Column:
-    n = hit_words(F.col("_dc_hits"))
-    return (n > 0) & (share * n >= F.col("_dc_words"))
+def contaminated(share: int = SHARE, words: str = FOUND[0], hits: str = FOUND[1]) -> Column:
+    n = hit_words(F.col(hits))
+    return (n > 0) & (share * n >= F.col(words))
 
 
-def without_hits(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+def without_hits(batches: Iterator[pa.RecordBatch], text_col: str, hit_col: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cut = []
-        for text, hits in zip(values(b[text_col]), values(b["_dc_hits"])):
+        for text, hits in zip(values(b[text_col]), values(b[hit_col])):
             if hits:
                 raw = text.encode()
                 at = [m.span() for m in WORD.finditer(raw.lower())]
@@ -160,9 +166,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                   text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents (remove="documents"), or with all documents but
     without the hit words and what stands between them (remove="spans")."""
-    found = find_hits(docs, benchmark, text_col, **options)
+    words, hits, items = free_names(docs, *FOUND)
+    found = find_hits(docs, benchmark, text_col, names=(words, hits, items), **options)
     if remove == "spans":
-        found = found.mapInArrow(lambda it: without_hits(it, text_col), found.schema)
+        found = found.mapInArrow(lambda it: without_hits(it, text_col, hits), found.schema)
     else:
-        found = found.where(~contaminated())
+        found = found.where(~contaminated(words=words, hits=hits))
     return found.select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import (WordHashes, body, mixed, packed, packed_sorted,
+from mixspark.llm.common import (WordHashes, body, free_names, mixed, packed, packed_sorted,
                                  parts_for, total_bytes, unpacked, unpacked_sorted, values)
 from mixspark.llm.components import components
 from mixspark.sources.scratch import stored
@@ -376,9 +376,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id is the smallest of its component. Rows
     that repeat that id stay, as do rows without an id."""
+    [name] = free_names(docs, "_jj_id")
     gone = jaccard_join(docs, id_col, text_col, **options).where("doc_id > component_id").select(
-        F.col("doc_id").alias("_jj_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_jj_id"), "left_anti")
+        F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def _labelled(entries: DataFrame, keys: DataFrame, found: DataFrame | None) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixspark.llm import linear
-from mixspark.llm.common import body, fold, word_lists
+from mixspark.llm.common import body, fold, free_names, word_lists
 
 #: Bounds of the samples that are fitted on the driver, chosen by a hash of the id.
 MAX_LABELLED, MAX_UNLABELLED = 8000, 8000
@@ -165,17 +165,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
           max_unlabelled: int = MAX_UNLABELLED) -> CoTrained:
     """Fits on documents whose fold (crc32 of the id modulo 5) is not 0. Of contradicting labels
     the lowest counts; null labels are none. Without labels every score is 0.5."""
-    truth = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_q_id")).agg(
-        F.min(label).cast("double").alias("_q_y"))
-    ids = docs.select(F.col(id_col).alias("_q_id")).where("_q_id is not null").where(
-        fold(F.col("_q_id")) != 0).join(truth, "_q_id", "left")
-    order = [F.xxhash64("_q_id"), F.col("_q_id")]
-    sample = ids.where("_q_y is not null").distinct().orderBy(*order).limit(max_labelled).union(
-        ids.where("_q_y is null").distinct().orderBy(*order).limit(max_unlabelled))
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_q_id")).select(
-        "_q_id", "_q_y", features(*view_columns(docs, text_col)).alias("f"))
-    got = rows.groupBy("_q_id").agg(F.min("_q_y").alias("y"), F.min("f").alias("f")).toPandas()
-    got = got.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in got["_q_id"]], kind="stable")]
+    q_id, q_y = free_names(docs, "_q_id", "_q_y")
+    truth = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias(q_id)).agg(
+        F.min(label).cast("double").alias(q_y))
+    ids = docs.select(F.col(id_col).alias(q_id)).where(F.col(q_id).isNotNull()).where(
+        fold(F.col(q_id)) != 0).join(truth, q_id, "left")
+    order = [F.xxhash64(q_id), F.col(q_id)]
+    sample = ids.where(F.col(q_y).isNotNull()).distinct().orderBy(*order).limit(max_labelled).union(
+        ids.where(F.col(q_y).isNull()).distinct().orderBy(*order).limit(max_unlabelled))
+    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col(q_id)).select(
+        F.col(q_id).alias("id"), F.col(q_y).alias("y"), features(*view_columns(docs, text_col)).alias("f"))
+    got = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("f").alias("f")).toPandas()
+    got = got.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in got["id"]], kind="stable")]
     t = np.array([f["t"] for f in got["f"]]).reshape(-1, TEXT_DIM)
     m = np.array([f["m"] for f in got["f"]]).reshape(-1, META_DIM)
     y = got["y"].to_numpy(np.float64)
@@ -197,4 +198,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, name: str = "_quality", i
 
 def good_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    return quality_scores(docs, labels, **options).where(F.col("_quality.score") >= keep_at).select(*docs.columns)
+    [name] = free_names(docs, "_quality")
+    scored = quality_scores(docs, labels, name, **options)
+    return scored.where(F.col(f"{name}.score") >= keep_at).select(*docs.columns)

@@ -123,7 +123,8 @@ def test_drawn_edits_of_the_query(spark, counts):
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = ["id", "body", "digest", "n", "row", "s", "col", "score", "label", "block", "keep_id", "kept", "hits",
-           "items", "bin", "n_words", "train", "y", "pos", "_q_id_", "component_id"]
+           "items", "bin", "n_words", "train", "y", "pos", "component_id", "_q_id", "_q_y", "_q_id_", "_quality",
+           "_dc_body", "_dc_words", "_dc_hits", "_dc_items", "_jj_id", "_jj_id_", "runs", "tree", "payload"]
 
 
 @pytest.fixture(scope="module")
@@ -144,6 +145,8 @@ def odd(spark, tmp_path_factory):
         spark.createDataFrame([(i, q, t if t is None else int(t)) for i, q, t in labels] if keep else [],
                               "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         spark.createDataFrame(items if keep else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(i, s, t) for i, t, _, s, _ in rows] if keep else [], "page_id long, url string, html string") \
+            .withColumns({c: F.lit(f"{c}!") for c in CLASHES}).write.parquet(f"{d}/pages.parquet")
         made[name] = d, len(rows) if keep else 0
     return made
 
