@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from mixspark.functions.rand import first_hit, uniform
 
+# Redraws of an empty minibatch that one pass looks at.
+ATTEMPTS_A_PASS = 32
+
 
 def normal_rows(view: DataFrame) -> DataFrame:
     return view.where("label = 0")
@@ -34,12 +37,19 @@ def minibatch_sample(df: DataFrame, n: int, minibatch: int, *salt) -> tuple[Data
     """A non-empty minibatch: draws again with the next salt while none is selected. Returns the
     rows and the attempt they came from."""
     f = minibatch_fraction(n, minibatch)
-    for attempt in itertools.count():
-        rows = bernoulli(df, f, *salt, attempt)
-        if f >= 1.0 or rows.limit(1).count() > 0:
-            return rows, attempt
-        if not df.limit(1).count():
+    rows = bernoulli(df, f, *salt, 0)
+    if f >= 1.0 or rows.limit(1).count():
+        return rows, 0
+    # Rare: look at many attempts in one pass.
+    for start in itertools.count(1, ATTEMPTS_A_PASS):
+        hits = [F.max(uniform(F.col("key"), *salt, a) < F.lit(float(f))).alias(str(a))
+                for a in range(start, start + ATTEMPTS_A_PASS)]
+        found = df.agg(F.count("*").alias("n"), *hits).first()
+        if not found["n"]:
             raise ValueError("no rows to draw from")
+        for attempt in range(start, start + ATTEMPTS_A_PASS):
+            if found[str(attempt)]:
+                return bernoulli(df, f, *salt, attempt), attempt
 
 
 def mixture_target(k: int, ratio: float) -> float:

@@ -7,6 +7,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from mixspark.functions.rand import uniform
 from mixspark.operators import category, evaluate as ev, score as sc
 from mixspark.operators import ordered
 from mixspark.operators.ordered import kth_lowest, ranked_values
@@ -136,3 +137,11 @@ def test_no_rows_give_no_minibatch(spark):
     empty = spark.createDataFrame([], "key string")
     with pytest.raises(ValueError, match="no rows"):
         minibatch_sample(empty, 1000, 10)
+
+
+def test_redraws_until_a_row_is_taken(spark):
+    df = spark.range(3).select(F.col("id").cast("string").alias("key"))
+    rows, attempt = minibatch_sample(df, 100, 1, "mb", 5)  # chances of 1 in 100
+    assert rows.count() >= 1 and attempt > 0
+    for a in range(attempt):
+        assert not df.where(uniform(F.col("key"), "mb", 5, a) < 0.01).count()
