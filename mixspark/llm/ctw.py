@@ -14,18 +14,18 @@ documents' scores.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixspark.llm.common import (body, fold, packed, packed_sorted, parts_for, total_bytes, unpacked,
-                                 unpacked_sorted, values, word_lists)
+from mixspark.llm.common import (WordHashes, body, fold, packed, packed_sorted, parts_for, total_bytes, unpacked,
+                                 unpacked_sorted, values)
 from mixspark.sources.scratch import stored
 
 DEPTH = 5
@@ -89,12 +89,11 @@ def grams(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     last) as ascending codes, and the string at each byte of ``text``; ``text`` has ``depth`` end
     bytes in front."""
     n = len(text) - depth
-    name, place = np.zeros(1, np.uint64), np.zeros(n, np.int32)
+    code = np.zeros(n, np.uint64)
     for k in [*range(depth - 1, -1, -1), depth]:
-        code = place.astype(np.int64) * 256 + text[k:k + n]
-        distinct, place = ranks(code, len(name) * 256)
-        name = (name[distinct >> 8] << np.uint64(8)) | (distinct & 255).astype(np.uint64)
-    return name, place
+        code <<= np.uint64(8)
+        code |= text[k:k + n]
+    return ranked_codes(code)
 
 
 # ---- the tree ----------------------------------------------------------------------------------
@@ -245,38 +244,43 @@ def fragments(table: pa.Table, each: int = BLOCK_BYTES) -> Iterator[tuple[list,
         yield ids, np.array(train, bool), texts
 
 
-def token_counts(text: bytes) -> Counter:
-    counts = Counter()
-    for some in word_lists(text):
-        counts.update(some)
-    counts[END_TOKEN] = 1
-    return counts
+END_HASH = xxhash.xxh3_64_intdigest(END_TOKEN)
 
 
-def token_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+def block_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a block's tokens in the order of its texts, how many each text has, its training marks."""
+    hashes, words, sizes, marks = WordHashes(), [], [], []
+    end = np.array([END_HASH], np.uint64)
+    for _, learn, texts in fragments(table):
+        for t in texts:
+            mine = hashes.of(t)
+            words += [mine, end]
+            sizes.append(len(mine) + 1)
+        marks.append(learn)
+    return np.concatenate(words), np.array(sizes, np.int64), np.concatenate(marks)
 
 
-def block_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a block's distinct tokens, ascending, and their counts in its training texts."""
-    train, other = Counter(), set()
-    for _, learn, texts in fragments(table):
-        for t, yes in zip(texts, learn):
-            got = token_counts(t)
-            if yes:
-                train.update(got)
-            else:
-                other.update(got)
-    words = [*train, *(w for w in other if w not in train)]
-    h = np.fromiter(map(token_hash, words), np.uint64, len(words))
-    n = np.zeros(len(words), np.int64)
-    n[:len(train)] = list(train.values())
-    order = np.argsort(h)
-    return h[order], n[order]
+def ranked_codes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes, ascending, and where each code is among them."""
+    seen, name = pd.factorize(code)  # a hash table, in the order of first occurrence
+    order = np.argsort(name)
+    rank = np.empty(len(name), np.int32)
+    rank[order] = np.arange(len(name), dtype=np.int32)
+    return name[order], rank[seen]
+
+
+def block_tokens(table: pa.Table):
+    """The hashes of a block's distinct tokens, ascending, their counts in its training texts, and of each
+    token its place among them, with the texts' sizes."""
+    words, sizes, learn = block_words(table)
+    h, place = ranked_codes(words)
+    n = np.bincount(place[np.repeat(learn, sizes)], minlength=len(h))
+    return h, n, place, sizes
 
 
 def block_grams(table: pa.Table, depth: int):
-    """The block's distinct byte strings, and per fragment its ids, texts and each byte's string."""
+    """The block's distinct byte strings, and per fragment its ids, training marks, the texts' sizes and each
+    byte's string."""
     names, parts = [], []
     for ids, learn, texts in fragments(table):
         head = bytes([END]) * depth
@@ -291,9 +295,11 @@ def block_grams(table: pa.Table, depth: int):
         used, place = ranks(place[coded], len(name))  # what stands in heads depends on the texts' order
         name = name[used]
         names.append(name)
-        parts.append((ids, learn, texts, size, place))
+        parts.append((ids, learn, size, place))
+    if len(names) == 1:
+        return names[0], parts
     gram = np.unique(np.concatenate(names))
-    return gram, [(i, w, t, n, np.searchsorted(gram, name)[p]) for name, (i, w, t, n, p) in zip(names, parts)]
+    return gram, [(i, w, n, np.searchsorted(gram, name)[p]) for name, (i, w, n, p) in zip(names, parts)]
 
 
 def cut(at: np.ndarray, count: int) -> np.ndarray:
@@ -304,14 +310,14 @@ def requests(depth: int, sheets: int):
     """What a block asks: rows (kind, sheet, block, keys, counts in the block's training texts)."""
     def run(table: pa.Table) -> pa.Table:
         block, rows = table["block"][0].as_py(), []
-        h, n = block_tokens(table)
+        h, n, _, _ = block_tokens(table)
         # Ranges of hashes: the sheets follow each other in the ascending order.
         edge = cut((h >> np.uint64(32)) * np.uint64(sheets) >> np.uint64(32), sheets)
         rows += [("word", s, block, packed_sorted(h[i:j]), packed(n[i:j].astype(np.int32)))
                  for s, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if j > i]
         gram, parts = block_grams(table, depth)
         count = np.zeros(len(gram), np.int64)
-        for _, learn, _, size, place in parts:
+        for _, learn, size, place in parts:
             count += np.bincount(place[np.repeat(learn, size)], minlength=len(gram))
         sheet = sheet_of(gram, depth, sheets)
         order = np.argsort(sheet, kind="stable")
@@ -368,21 +374,21 @@ def scores(depth: int, sheets: int):
             mine = [(s, v) for k, s, v in zip(*(answer[c].to_pylist() for c in ("kind", "sheet", "value")))
                     if k == kind]
             got[kind] = np.concatenate([unpacked(v, dtype) for _, v in sorted(mine)])
-        hashes, _ = block_tokens(table)
+        _, _, token, tokens = block_tokens(table)
+        c = got["word"][token]
+        first = np.cumsum(tokens) - tokens
+        known = np.add.reduceat((c > 0).astype(np.int64), first).tolist()
+        logs = np.add.reduceat(np.log10(c + 0.5), first).tolist()
         gram, parts = block_grams(table, depth)
         value = np.empty(len(gram))
         value[np.argsort(sheet_of(gram, depth, sheets), kind="stable")] = got["byte"]
-        out = []
-        for ids, learn, texts, size, place in parts:
+        out, at = [], 0
+        for ids, learn, size, place in parts:
             ends = np.cumsum(size)
             byte = np.add.reduceat(value[place], ends - size)
-            for i, yes, t, score, n_bytes in zip(ids, learn, texts, byte, size):
-                tokens = token_counts(t)
-                h = np.fromiter(map(token_hash, tokens), np.uint64, len(tokens))
-                times = np.fromiter(tokens.values(), np.int64, len(tokens))
-                c = got["word"][np.searchsorted(hashes, h)]
-                out.append((i, not yes, int(times.sum()), int(times[c > 0].sum()),
-                            float((times * np.log10(c + 0.5)).sum()), float(score), int(n_bytes)))
+            mine = slice(at, at + len(ids))
+            out += zip(ids, (~learn).tolist(), tokens[mine].tolist(), known[mine], logs[mine], byte.tolist(), size.tolist())
+            at += len(ids)
         return pa.table({n: pa.array(v, t) for (n, t), v in zip(SCORED.items(), zip(*out))})
     return run
 
