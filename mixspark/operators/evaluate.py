@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from mixspark.functions.expr import constants
 from mixspark.functions.rand import uniform_int
 from mixspark.operators.ordered import INF, bucket_count, number_bucket, number_edges
-from mixspark.sources.scratch import stored
 
 
 def positive(label: Column) -> Column:
@@ -44,7 +43,6 @@ def auroc(scored: DataFrame, by=(), score: str = "score", pos: str = "positive",
     flags = scored.select(*by, (F.col(score) + 0.0).alias(score),
                           (F.col(pos) > 0.5).cast("long").alias("p"))
     if edges is None:
-        flags = stored(flags, "flags")  # scored once, however often the flags are read
         buckets = bucket_count(scored)
         edges, counts = number_edges(flags, score, buckets, F.sum("p"), F.sum(1 - F.col("p")))
         few = min(counts, key=lambda c: c or 0)
