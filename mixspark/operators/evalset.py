@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from mixspark.functions.expr import constants, total
-from mixspark.functions.rand import first_hit, normal, uniform
+from mixspark.functions.expr import constants, kept_apart, total
+from mixspark.functions.rand import EACH, WIDE, first_hit, normal, uniform, uniforms, wide_draws
 from mixspark.operators.encode import set_category
 from mixspark.operators.ordered import kth_lowest, ranked_values
 
@@ -74,9 +76,12 @@ def decaying_binary(rows: DataFrame, n_cols: int, xm: float = 2, alpha: float =
 def independent_binary(rows: DataFrame, n_cols: int, p: float = DEFAULT_BINARY_PROBABILITY,
                        seed=0) -> DataFrame:
     """Add ``bits``: independent 0/1 columns."""
-    return rows.withColumn("bits", F.transform(
-        F.sequence(F.lit(0), F.lit(n_cols - 1)),
-        lambda i: (uniform(F.col("key"), "bit", i, seed) < F.lit(float(p))).cast("int")))
+    parts, p = (F.col("key"), "bit", EACH, seed), float(p)
+    if _wide(n_cols, seed):
+        bits = wide_draws(n_cols, parts, lambda u: u < p, "int")
+    else:
+        bits = F.transform(uniforms(n_cols, *parts), lambda u: (u < F.lit(p)).cast("int"))
+    return rows.withColumn("bits", kept_apart(bits))
 
 
 def location_scale(means: Column, sigmas: Column, *salt) -> Column:
@@ -155,19 +160,53 @@ def shares(bits: Column, rules: list[list[int]]) -> Column:
         cols, F.lit(0.0), lambda acc, c: acc + F.get(bits, c)) / F.size(cols))
 
 
+def _wide(n: int, seed, rules: list[list[int]] = ()) -> bool:
+    """Whether n draws of a row are made in numpy. A rule without columns has no share."""
+    return n in WIDE and not isinstance(seed, Column) and all(any(r) for r in rules)
+
+
+def _shares_of(bits: pa.Array, rules: list[list[int]]) -> np.ndarray:
+    """``shares`` of an Arrow batch; not a number where a column of the rule is missing."""
+    width = max(len(r) for r in rules)
+    places = bits.offsets.to_numpy()
+    at = places[:-1, None] + np.arange(width)
+    flat = np.append(bits.values.to_numpy(zero_copy_only=False).astype(float), np.nan)
+    # A line for each column, so that a sum runs over whole lines.
+    cols = np.where(at < places[1:, None], flat[np.minimum(at, len(flat) - 1)], np.nan).T.copy()
+    out = np.empty((len(bits), len(rules)))
+    for i, r in enumerate(rules):
+        on = [c for c, x in enumerate(r) if x]
+        out[:, i] = sum(cols[c] for c in on) / len(on)
+    return out
+
+
 def dependent_binary(rows: DataFrame, rules: list[list[int]], seed=0) -> DataFrame:
     """Put one 0/1 column per rule before ``bits``: 1 with the rule's share as probability."""
-    extra = F.transform(
-        shares(F.col("bits"), rules),
-        lambda p, i: (uniform(F.col("key"), "dep", i, seed) < p).cast("int"))
-    return rows.withColumn("bits", F.concat(extra, F.col("bits")))
+    parts, n = (F.col("key"), "dep", EACH, seed), len(rules)
+    if _wide(n, seed, rules):
+        def set_where_below(u, bits):
+            p = _shares_of(bits, rules)
+            return np.where(np.isnan(p), p, u < p)
+
+        extra = wide_draws(n, parts, set_where_below, "int", F.col("bits"))
+    else:
+        extra = F.zip_with(uniforms(n, *parts), shares(F.col("bits"), rules),
+                           lambda u, p: (u < p).cast("int"))
+    return rows.withColumn("bits", kept_apart(F.concat(extra, F.col("bits"))))
 
 
 def dependent_numeric(rows: DataFrame, rules: list[list[int]], seed=0) -> DataFrame:
     """Add ``nums``: one per rule with the share p as location and 1/(p+1) as scale."""
-    rows = rows.withColumn("__p", shares(F.col("bits"), rules))
-    scale = F.transform("__p", lambda p: 1.0 / (p + 1.0))
-    return rows.withColumn("nums", location_scale(F.col("__p"), scale, "num", seed)).drop("__p")
+    parts, n = (F.col("key"), "num", seed, EACH), len(rules)
+    if _wide(n, seed, rules):
+        def located(u, bits):
+            p = _shares_of(bits, rules)
+            return u * (1.0 / (p + 1.0)) + p
+
+        return rows.withColumn("nums", wide_draws(n, parts, located, "double", F.col("bits")))
+    return rows.withColumn("nums", F.zip_with(
+        uniforms(n, *parts), shares(F.col("bits"), rules),
+        lambda u, p: u * (1.0 / (p + 1.0)) + p))
 
 
 def category_flip(view: DataFrame, options: int, seed=0) -> DataFrame:

@@ -19,9 +19,12 @@ def generate(rows: DataFrame, n_random: int = es.DEFAULT_RANDOM_CATEGORICAL,
              n_related: int = es.DEFAULT_RELATED_CATEGORICAL, n_nums: int = es.DEFAULT_NUMERIC,
              p: float = es.DEFAULT_BINARY_PROBABILITY, seed=0) -> DataFrame:
     """A mixed view with one generated row per ``key``: random binary columns, binary columns that
-    depend on them, and numerics that depend on both. A projection."""
+    depend on them, and numerics that depend on both. A row costs far more than its key, so the keys
+    are dealt over all tasks first: a small file of keys is one task otherwise."""
     spark = rows.sparkSession
-    out = es.independent_binary(rows.select("key"), n_random, p, seed)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                spark.sparkContext.defaultParallelism)
+    out = es.independent_binary(rows.select("key").repartition(tasks), n_random, p, seed)
     out = es.dependent_binary(out, drafted(spark, n_related, n_random, f"{seed}|b"), seed)
     out = es.dependent_numeric(
         out, drafted(spark, n_nums, n_related + n_random, f"{seed}|n"), seed)
